@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnmill.llm import encode, forms, pieces, turns
+from turnmill.llm import encode, forms, leaks, pieces, quality, turns
 from turnmill.runtime import read_table
 
 
@@ -39,7 +39,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p5_found, p5_turns, p7_ids)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_passages"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.found_classes(read_table(spark, sf_dir, "documents"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p5_found, p5_turns, p7_ids, p8_found, p9_found, p9_statistics)}
 
 ORACLE = {
     "p2_found": "SELECT DISTINCT segment_id FROM segments WHERE length(text) > 800",
