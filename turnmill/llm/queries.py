@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnmill.llm import encode, forms, leaks, pieces, quality, turns
+from turnmill.llm import encode, forms, leaks, pieces, quality, terms, turns
 from turnmill.runtime import read_table
 
 
@@ -27,6 +27,10 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_long(read_table(spark, sf_dir, "segments"), "segment_id", "text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.found_terms(read_table(spark, sf_dir, "corrections"), read_table(spark, sf_dir, "terminology_eval"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.speaker_turns(read_table(spark, sf_dir, "segments"))
 
@@ -51,7 +55,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p5_found, p5_turns, p7_ids, p8_found, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p5_found, p5_turns, p7_ids, p8_found, p9_found, p9_statistics)}
 
 ORACLE = {
     "p2_found": "SELECT DISTINCT segment_id FROM segments WHERE length(text) > 800",
