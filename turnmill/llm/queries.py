@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnmill.llm import encode, forms, leaks, pieces, quality, terms, turns
+from turnmill.llm import encode, forms, leaks, pieces, pii, quality, terms, turns
 from turnmill.runtime import read_table
 
 
@@ -31,6 +31,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.found_terms(read_table(spark, sf_dir, "corrections"), read_table(spark, sf_dir, "terminology_eval"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_kinds(read_table(spark, sf_dir, "segments"), read_table(spark, sf_dir, "meetings"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every meeting summary with placeholders."""
+    return pii.redacted(read_table(spark, sf_dir, "meetings"), "recording_id", "summary", "meetings.summary")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.speaker_turns(read_table(spark, sf_dir, "segments"))
 
@@ -55,7 +64,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p5_found, p5_turns, p7_ids, p8_found, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p4_found, p4_redacted, p5_found, p5_turns, p7_ids, p8_found, p9_found, p9_statistics)}
 
 ORACLE = {
     "p2_found": "SELECT DISTINCT segment_id FROM segments WHERE length(text) > 800",
