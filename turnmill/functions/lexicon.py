@@ -77,7 +77,10 @@ DUE = (
     rf"(?i)今天|明天|后天|本周|下周|周[一二三四五六日天]|星期[一二三四五六日天]|月底|月末|年底|年末|[0-9]{{1,4}}{W}*(?:年|[-/.]){W}*[0-9]{{1,2}}|[0-9]{{1,2}}{W}*(?:月|[-/.]){W}*[0-9]{{1,2}}|[0-9]{{1,2}}{W}*(?:点|时|:){W}*[0-9]{{0,2}}"
     rf"|\b(?:today|tomorrow|tonight|eod|eow|cob|monday|tuesday|wednesday|thursday|friday|saturday|sunday|next{W}+(?:week|month|quarter|year))\b"
 )
-UNSAFE_QUALIFIER = r"(?i)如果|假如|若|可能|也许|或许|大概|似乎|听说|据说|\b(?:if|unless|maybe|perhaps|might|may|could|would|should|seems?|apparently|reportedly|allegedly)\b"
+UNSAFE_QUALIFIER = (
+    rf"(?i)如果|若|假如|假设|除非|一旦|倘若|前提是|可能|也许|或许|未必|不一定|是否|能否|可否|要不要|听说|据说|传闻|似乎|好像|看起来|[吗呢么嘛吧]{W}*$"
+    r"|\b(?:if|unless|once|when|whenever|provided|assuming|in case|as long as|whether|should|would|may|maybe|might|could|likely|possibly|perhaps|apparently|seemingly|reportedly|allegedly)\b"
+)
 
 
 def _has(text: Column, pattern: str) -> Column:

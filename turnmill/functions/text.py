@@ -40,6 +40,17 @@ def nfkc(text: Column) -> Column:
     return F.when(plain, native).otherwise(_nfkc(F.when(~plain, text)))
 
 
+def fold(df, *columns: str):
+    """Text columns folded by NFKC in a step of their own, so that array functions may use them."""
+    apart = _nfkc.asNondeterministic()
+    out = {}
+    for name in columns:
+        t = F.coalesce(F.col(name), F.lit(""))
+        plain = t.rlike(_NATIVE)
+        out[name] = F.when(plain, F.replace(F.translate(t, _WIDE, _NARROW), F.lit("…"), F.lit("..."))).otherwise(apart(F.when(~plain, t)))
+    return df.withColumns(out)
+
+
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{S}+|{S}+$", "")
 
@@ -59,9 +70,13 @@ def _class(signs: str) -> str:
 
 def comparable_text(text: Column) -> Column:
     """Folded, lower case, without white space, and without signs at both ends."""
+    return folded_comparable(nfkc(F.coalesce(text, F.lit(""))))
+
+
+def folded_comparable(text: Column) -> Column:
+    """C1 of a text that is folded already (usable inside array functions)."""
     signs = _class(END_SIGNS)
-    t = no_space(F.lower(nfkc(F.coalesce(text, F.lit("")))))
-    return F.regexp_replace(t, f"^[{signs}]+|[{signs}]+$", "")
+    return F.regexp_replace(no_space(F.lower(text)), f"^[{signs}]+|[{signs}]+$", "")
 
 
 def correction_text(text: Column) -> Column:

@@ -233,3 +233,42 @@ def committed_prefix(df: DataFrame, keys: list[str], index: str) -> DataFrame:
         .agg(F.count_if("ok_").alias("prefix"), F.count("*").alias("n"), (F.max("i_") + 1).alias("high"))
         .withColumn("contiguous", (F.col("prefix") == F.col("n")) & (F.col("high") == F.col("n")))
     )
+
+
+def _expand(rows: pd.DataFrame) -> pd.DataFrame:
+    """W6 over one island: the group around each segment, grown backward and then forward within the budgets."""
+    rows = rows.sort_values("pos").reset_index(drop=True)
+    n = len(rows)
+    size, space = rows["size"].tolist(), rows["space_next"].astype(int).tolist()
+    start = [max(0.0, x) if x == x else 0.0 for x in rows["start_seconds"]]
+    end = [e if e == e and e else s for e, s in zip(rows["end_seconds"], start)]
+    first, last = [], []
+    for i in range(n):
+        a = b = i
+        length, reach = size[i], max(start[i], end[i])
+        while a > 0 and length + size[a - 1] + space[a - 1] <= READABLE_CHARACTERS and reach - start[a - 1] <= READABLE_SECONDS:
+            a -= 1
+            length += size[a] + space[a]
+        while b < n - 1 and length + size[b + 1] + space[b] <= READABLE_CHARACTERS and max(reach, end[b + 1]) - start[a] <= READABLE_SECONDS:
+            length += size[b + 1] + space[b]
+            b += 1
+            reach = max(reach, end[b])
+        first.append(int(rows["pos"][a]))
+        last.append(int(rows["pos"][b]))
+    return rows[[*SESSION, "pos"]].assign(first=first, last=last)
+
+
+def context_groups(norm: DataFrame) -> DataFrame:
+    """The first and the last position of the joined text around each segment."""
+    w = in_order()
+    text, nxt = F.col("text"), F.lead("text").over(w)
+    space = F.char_length(tx.join_texts(text, nxt)) > F.char_length(text) + F.char_length(nxt)
+    rows = joinable(norm).select(
+        *SESSION, "pos", "start_seconds", "end_seconds", F.char_length(text).alias("size"), F.coalesce(space, F.lit(False)).alias("space_next"),
+        (F.coalesce("join_next", F.lit(False)) & F.col("joinable")).alias("goes_on"),
+    )
+    rows = rows.withColumn("from_last", F.coalesce(F.lag("goes_on").over(w), F.lit(False)))
+    rows = rows.withColumn("island", F.max(F.when(~F.col("from_last"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = rows.where("not from_last and not goes_on").select(*SESSION, "pos", F.col("pos").alias("first"), F.col("pos").alias("last"))
+    grown = rows.where("from_last or goes_on").groupBy(*SESSION, "island").applyInPandas(_expand, "recording_id string, session_no int, pos int, first int, last int")
+    return alone.unionByName(grown)

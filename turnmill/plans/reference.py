@@ -845,3 +845,61 @@ def uncorrected_speakers(spark: SparkSession, d: str) -> DataFrame:
     fixed = n.join(hit, "segment_id", "left_semi").select("recording_id", "key").distinct()
     each = n.groupBy("recording_id", "key").agg(F.min_by("speaker", F.struct("session_no", "pos")).alias("speaker"), F.count("*").alias("n"))
     return each.join(fixed, ["recording_id", "key"], "left_anti")
+
+
+# ---- sources and display (S2 to S5, S16, S20, K10, W5, K7) ---------------------------------
+
+
+@query(
+    f"""WITH {q.NORM} SELECT recording_id, session_no, CAST(pos AS INT) AS seg_idx, CASE WHEN start_seconds >= 0 AND end_seconds > start_seconds THEN start_seconds ELSE 0.0 END AS start_seconds,
+CASE WHEN start_seconds >= 0 AND end_seconds > start_seconds THEN end_seconds ELSE 0.0 END AS end_seconds, CASE WHEN start_seconds >= 0 AND end_seconds > start_seconds THEN 'provider' ELSE 'inferred' END AS timing_source, speaker, text FROM norm"""
+)
+def provider_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Every session written as a provider's answer, and parsed."""
+    from turnmill.sources.envelopes import parse_responses
+
+    seg = F.struct(F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"), "speaker", "text")
+    body = _norm(spark, d).groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("pos", seg.alias("s")))).alias("x"))
+    body = body.select(F.to_json(F.struct(*SESSION)).alias("id"), F.to_json(F.struct(F.transform("x", lambda x: x["s"]).alias("segments"))).alias("body"))
+    out = parse_responses(body, "id", "body").withColumn("k", F.from_json("id", "recording_id string, session_no int"))
+    return out.select("k.*", "seg_idx", "start_seconds", "end_seconds", "timing_source", "speaker", "text")
+
+
+@query("SELECT recording_id, title, summary IS NOT NULL AS told FROM meetings")
+def share_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every meeting written as a link, and read again."""
+    from turnmill.sources.envelopes import link_of, payload_of
+
+    m = read_table(spark, d, "meetings").select("recording_id", "title", "summary", F.array().cast("array<string>").alias("segments"))
+    link = link_of(F.to_json(F.struct("recording_id", "title", "summary", "segments")))
+    back = F.from_json(payload_of(link), "recording_id string, title string, summary string")
+    return m.select(back.alias("b")).select("b.recording_id", "b.title", F.col("b.summary").isNotNull().alias("told"))
+
+
+@query()
+def display_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Display texts and what each hides."""
+    from turnmill.operators.display import display_projection as project
+
+    return project(_norm(spark, d))
+
+
+@query()
+def context_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The joined text around each segment."""
+    return timeline.context_groups(_norm(spark, d))
+
+
+@query()
+def action_support(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each corrected segment commits to its term, as owner, and to a day."""
+    from turnmill.operators import actions
+
+    c = read_table(spark, d, "corrections").where("to_text is not null and to_text != ''").select("correction_id", "segment_id", "to_text").distinct()
+    j = tx.fold(c.join(_seg(spark, d).select("segment_id", "text"), "segment_id"), "text", "to_text")
+    day = F.nullif(F.regexp_extract("text", "((?i)周[一二三四五六日]|monday|tuesday|wednesday|thursday|friday)", 1), F.lit(""))
+    t = F.col("text")
+    return j.select(
+        "correction_id", actions.holds(t, F.col("to_text")).alias("named"), actions.owner_supported(t, F.col("to_text")).alias("owner"),
+        actions.due_supported(t, F.coalesce(day, F.lit("")), F.col("to_text"), F.col("to_text")).alias("due"),
+    )
