@@ -261,6 +261,8 @@ def map_values(values: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     """Each distinct non-blank value of ``column`` with the ``eval_id`` it means."""
     shared = values.sparkSession.sparkContext.broadcast(load_names(terms))
     distinct = values.select(F.col(f"`{column}`").alias("value")).where(F.col("value").rlike(r"\S")).distinct()
+    # the values are few bytes but much work: spread them over all cores, which sizes alone would not
+    distinct = distinct.repartition(values.sparkSession.sparkContext.defaultParallelism, "value")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = Names(shared.value)
