@@ -6,7 +6,7 @@ space.  The classifiers are compositions of native matches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import S as W
@@ -147,3 +147,20 @@ def defensive_floor(text: Column) -> Column:
 def plausible_due(text: Column) -> Column:
     """F11."""
     return _has(text, DUE)
+
+
+def classify(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Every classifier of a text, each pattern matched once."""
+    t = F.col("t_")
+    base = df.select(F.col(key), F.col(text).alias("t_")).select(
+        key, (js_trim(t) != "").alias("some_"), _has(t, DECISION).alias("decision_words"), _has(t, CONCRETE_ACTION).alias("action_words"), direct_question(t).alias("question"), not_made(t).alias("not_made"),
+        _has(t, "[?？]").alias("mark_"), _has(t, UNRESOLVED).alias("open_"), (_has(t, UNCERTAIN_ACTION) | _has(t, NEGATED_ACTION) | _has(t, REJECTED_ACTION)).alias("weak_"), _has(t, COMMITTED).alias("bound_"),
+        _has(t, DUE).alias("due"), _has(t, UNSAFE_QUALIFIER).alias("qualified"),
+    )
+    c = F.col
+    doubt = c("mark_") | c("question") | c("not_made")
+    unresolved, uncertain, committed = doubt | c("open_"), doubt | c("weak_"), c("decision_words") | c("bound_")
+    return base.select(
+        key, "decision_words", unresolved.alias("unresolved"), "action_words", uncertain.alias("uncertain_action"), "question", "not_made", committed.alias("committed"), (c("decision_words") & ~unresolved).alias("decision"),
+        (c("action_words") & committed & ~unresolved & ~uncertain).alias("affirmative"), (c("some_") & ~doubt).alias("floor_passed"), "due", "qualified",
+    )

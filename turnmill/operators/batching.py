@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import text as tx
-from turnmill.operators.timeline import SESSION, SPEAKER
+from turnmill.operators.timeline import SESSION, SPEAKER, in_sequence
 
 LINE = 2000
 BATCH = 17_700
@@ -30,24 +30,25 @@ def greedy_batches(df: DataFrame, keys: Sequence[str], order: str, cost: Column,
     """The batch of each row when rows are packed in order and a batch may cost ``most`` at the most.
 
     The running cost starts anew with each batch, which no window frame can say;
-    each key's costs (16 bytes a row) are folded in order, in bounded chunks that
-    hand their state on.
+    rows stream through in order, one number each, and what is kept between rows
+    is one batch's size, however many rows a key has.
     """
-    rows = df.select(*keys, F.col(order).cast("bigint").alias("o_"), cost.cast("bigint").alias("c_"))
+    n = len(keys)
+    rows = df.select(*keys, F.col(order).cast("bigint").alias(order), cost.cast("bigint").alias("c_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys) + f", `{order}` bigint, batch bigint"
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("o_")
-        out, number, size, filled = [], 0, 0, False
-        for c in group["c_"]:
-            if filled and size + separator + c > most:
-                number, size, filled = number + 1, 0, False
-            size += c + (separator if filled else 0)
-            filled = True
-            out.append(number)
-        return group[list(keys)].assign(**{order: group["o_"].to_numpy(), "batch": out})
-
-    return rows.groupBy(*keys).applyInPandas(pack, schema)
+    def step(state: list, row: tuple) -> Iterator[tuple]:
+        key, c = row[:n], row[n + 1]
+        if not state or state[0] != key:
+            state[:] = [key, 0, c]
+        elif state[2] + separator + c > most:
+            state[:] = [key, state[1] + 1, c]
+        else:
+            state[2] += separator + c
+        yield (*row[: n + 1], state[1])
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    return ordered.mapInPandas(in_sequence(step, [*keys, order, "batch"]), schema)
 
 
 def round_robin(df: DataFrame, keys: Sequence[str], speaker: str, order: str, groups: int = 30, each: int = 40, most: int = 120) -> DataFrame:

@@ -1,12 +1,14 @@
 """Ordered transcript segments: normalisation, timing, boundaries, joins and cues.
 
 A transcript is a ``(recording_id, session_no)``; its order is carried in ``pos``.
-Everything but the budgeted joins is a window over the session; those are folded
-in order within the short runs that proposals leave.
+Everything but the budgeted joins is a window over the session; those stream
+through in order with a constant state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,36 +140,43 @@ def joinable(norm: DataFrame) -> DataFrame:
     return norm.withColumn("gap_seconds", tx.round_up(gap, 1000)).withColumn("joinable", F.coalesce(ok, F.lit(False)))
 
 
-def _fold_joins(rows: pd.DataFrame) -> pd.DataFrame:
-    """W3 over one island in order: a paragraph goes on while it keeps its budgets."""
-    rows = rows.sort_values("pos").reset_index(drop=True)
-    n = len(rows)
-    paragraph, accepted, head = [int(rows["pos"][0])] * n, [False] * n, int(rows["pos"][0])
-    num = lambda x: float(x) if x is not None and x == x else 0.0
-    start = max(0.0, num(rows["start_seconds"][0]))
-    end = max(start, num(rows["end_seconds"][0]) or start)
-    size = int(rows["size"][0])
-    for i in range(n - 1):
+def in_sequence(step: Callable[[list, list], Iterator[tuple]], columns: Sequence[str]):
+    """A ``mapInPandas`` function for rows sorted by session and position: ``step(state, row)`` gives output rows; state is one list a partition."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: list = []
+        for batch in batches:
+            rows = [out for row in zip(*[batch[c].tolist() for c in batch.columns]) for out in step(state, row)]
+            yield pd.DataFrame(rows, columns=list(columns))
+
+    return work
+
+
+def _number(x: float | None) -> float:
+    return float(x) if x is not None and x == x else 0.0
+
+
+def _join_step(state: list, row: tuple) -> Iterator[tuple]:
+    """A paragraph goes on while joins are proposed and possible and its budgets hold."""
+    recording, session, pos, start, end, size, stops, space, goes_on = row
+    a, e = max(0.0, _number(start)), _number(end)
+    joined = reach = None
+    if state and state[0] == (recording, session) and state[5]:
         # the text joined so far loses its closing stops when another follows
-        joined = size - int(rows["stops"][i]) + int(rows["space_next"][i]) + int(rows["size"][i + 1])
-        reach = max(end, num(rows["end_seconds"][i + 1]) or num(rows["start_seconds"][i + 1]) or end)
-        if joined <= READABLE_CHARACTERS and reach - start <= READABLE_SECONDS:
-            accepted[i] = True
-            size, end = joined, reach
-        else:
-            head = int(rows["pos"][i + 1])
-            start = max(0.0, num(rows["start_seconds"][i + 1]))
-            end = max(start, num(rows["end_seconds"][i + 1]) or start)
-            size = int(rows["size"][i + 1])
-        paragraph[i + 1] = head
-    return rows[[*SESSION, "pos"]].assign(paragraph=paragraph, accepted=accepted)
+        joined, reach = state[2] - state[6] + state[7] + size, max(state[4], e or _number(start) or state[4])
+    if joined is not None and joined <= READABLE_CHARACTERS and reach - state[3] <= READABLE_SECONDS:
+        head, began = state[1], state[3]
+        state[:] = [(recording, session), head, joined, began, reach, goes_on, stops, space]
+    else:
+        state[:] = [(recording, session), pos, size, a, max(a, e or a), goes_on, stops, space]
+    yield recording, session, pos, state[1]
 
 
 def semantic_joins(norm: DataFrame) -> DataFrame:
     """Each segment's paragraph (the position it begins at), and whether its proposed join to the next one holds.
 
-    A join that is not proposed or not possible ends every paragraph, so only the
-    runs between such places are folded in order; rows alone in theirs stay native.
+    Sessions stream through in order, a few numbers a row; what is kept between
+    rows is one paragraph's state, however long the session.
     """
     w = in_order()
     text, nxt = F.col("text"), F.lead("text").over(w)
@@ -175,15 +184,12 @@ def semantic_joins(norm: DataFrame) -> DataFrame:
     space = F.char_length(tx.join_texts(bare, nxt)) > F.char_length(bare) + F.char_length(nxt)
     rows = joinable(norm).select(
         *SESSION, "pos", "start_seconds", "end_seconds", F.char_length(text).alias("size"), (F.char_length(text) - F.char_length(bare)).alias("stops"),
-        F.coalesce(space, F.lit(False)).alias("space_next"), (F.coalesce("join_next", F.lit(False)) & F.col("joinable")).alias("goes_on"),
+        F.coalesce(space, F.lit(False)).cast("int").alias("space_next"), (F.coalesce("join_next", F.lit(False)) & F.col("joinable")).alias("goes_on"),
     )
-    rows = rows.withColumn("from_last", F.coalesce(F.lag("goes_on").over(w), F.lit(False)))
-    rows = rows.withColumn("island", F.max(F.when(~F.col("from_last"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    alone = rows.where("not from_last and not goes_on").select(*SESSION, "pos", F.col("pos").alias("paragraph"), F.lit(False).alias("accepted"))
-    folded = rows.where("from_last or goes_on").groupBy(*SESSION, "island").applyInPandas(
-        _fold_joins, "recording_id string, session_no int, pos int, paragraph int, accepted boolean"
-    )
-    return alone.unionByName(folded)
+    names = [*SESSION, "pos", "paragraph"]
+    out = rows.sortWithinPartitions(*SESSION, "pos").mapInPandas(in_sequence(_join_step, names), "recording_id string, session_no int, pos int, paragraph int")
+    last = F.lead("paragraph").over(Window.partitionBy(*SESSION).orderBy("pos"))
+    return out.withColumn("accepted", F.coalesce(last == F.col("paragraph"), F.lit(False)))
 
 
 def paragraphs(norm: DataFrame) -> DataFrame:

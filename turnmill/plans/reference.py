@@ -693,12 +693,7 @@ _F8 = f"({q.has('text', lx.DECISION)} OR {q.has('text', lx.COMMITTED)})"
 )
 def commitment_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every classifier over every segment."""
-    t = F.col("text")
-    return _seg(spark, d).select(
-        "segment_id", lx.explicit_decision(t).alias("decision_words"), lx.uncertain_decision(t).alias("unresolved"), lx.concrete_action(t).alias("action_words"), lx.uncertain_action(t).alias("uncertain_action"),
-        lx.direct_question(t).alias("question"), lx.not_made(t).alias("not_made"), lx.committed_action(t).alias("committed"), lx.decision(t).alias("decision"), lx.affirmative_action(t).alias("affirmative"),
-        lx.defensive_floor(t).alias("floor_passed"), lx.plausible_due(t).alias("due"), lx._has(t, lx.UNSAFE_QUALIFIER).alias("qualified"),
-    )
+    return lx.classify(_seg(spark, d), "segment_id", "text")
 
 
 @query(f"WITH {q.SEG} SELECT segment_id, length(text) > 800 OR coalesce(end_seconds - start_seconds > 90.0, false) AS oversized FROM seg")
