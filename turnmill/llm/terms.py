@@ -174,7 +174,7 @@ class Names:
                 if size <= 2 and like < 0.5:
                     like = 0.0
                 elif key and len(key) > 1 and key == sound(part) and token[:1] == part[:1]:
-                    like = max(like, 0.9)
+                    like = max(like, 0.78)
                 for form in self.heard.get((place, part), ()):
                     size = max(len(form), len(token))
                     d = distance(token, form, most=max(1, 0.3 * size))
@@ -190,15 +190,15 @@ class Names:
         norm = sum(w * w for w in weights)
         return sum(w * w * x for w, x in zip(weights, likes)) / norm
 
-    def _readings(self, ts: list[str]) -> Iterator[tuple[str, ...]]:
-        """The ways to read the tokens as the parts of a name: as they stand, or written together and cut anew."""
+    def _readings(self, ts: list[str]) -> Iterator[tuple[tuple[str, ...], float]]:
+        """The ways to read the tokens as the parts of a name, with what each costs: as they stand, or written together and cut anew."""
         whole = "".join(ts)
-        yield tuple(ts)
-        yield (whole,)
+        yield tuple(ts), 0.0
+        yield (whole,), 0.0
         for begin in range(0, 5):
             if begin == 0 or begin > 1 and len(whole) - begin > 5 and self._noisy(whole[:begin]):
                 for i in range(begin + 2, len(whole) - 1):
-                    yield (whole[begin:i], whole[i:])
+                    yield (whole[begin:i], whole[i:]), 0.12 if begin else 0.02
 
     def _noisy(self, token: str) -> bool:
         """Whether the token is no part of any name, or a slip of such a token."""
@@ -234,7 +234,7 @@ class Names:
             known = self.known.get("".join(some))
             if known is not None:
                 return known
-            for reading in self._readings(some):
+            for reading, cost in self._readings(some):
                 options = [self.near(k, t) for k, t in enumerate(reading)]
                 if not all(options):
                     continue
@@ -243,8 +243,8 @@ class Names:
                     combos = [((*ps, p), (*ls, x)) for ps, ls in combos for p, x in option]
                 for ps, likes in combos:
                     for e in self.first.get("|".join(ps), ()):
-                        score = self._score(e, likes)
-                        if score >= LEAST_NAME and min(likes) >= 0.5 and (best is None or (-score, e) < (-best[0], best[1])):
+                        score = self._score(e, likes) - cost
+                        if score + cost >= LEAST_NAME and min(likes) >= 0.5 and (best is None or (-score, e) < (-best[0], best[1])):
                             best = (score, e)
         return best[1] if best else NONE
 
