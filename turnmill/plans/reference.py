@@ -898,3 +898,123 @@ def action_support(spark: SparkSession, d: str) -> DataFrame:
         "correction_id", actions.holds(t, F.col("to_text")).alias("named"), actions.owner_supported(t, F.col("to_text")).alias("owner"),
         actions.due_supported(t, F.coalesce(day, F.lit("")), F.col("to_text"), F.col("to_text")).alias("due"),
     )
+
+
+# ---- further joins, aggregates and ledgers -------------------------------------------------
+
+
+@query(f"WITH {q.SEG} SELECT recording_id, session_no, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS characters FROM seg GROUP BY ALL")
+def stream_intake(spark: SparkSession, d: str) -> DataFrame:
+    """The segments taken in as a stream, redeliveries once, then counted."""
+    from turnmill.streaming.intake import stream_table, take_in
+
+    log = take_in(stream_table(spark, d, "segments"), "segment_id")
+    return log.groupBy(*SESSION).agg(F.count("*").alias("segments"), F.sum(F.char_length("text")).alias("characters"))
+
+
+@query(
+    f"""WITH {q.NORM}, a AS (SELECT recording_id, session_no, pos, segment_id FROM norm WHERE regexp_matches(text, '[0-9]{{5,}}')), b AS (SELECT recording_id, session_no, pos, segment_id FROM norm WHERE join_next)
+SELECT a.segment_id AS number_segment, b.segment_id AS joined_segment FROM a JOIN b ON a.recording_id = b.recording_id AND a.session_no = b.session_no AND abs(a.pos - b.pos) <= 1"""
+)
+def band_join(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours at most one position apart, as a hash join on the positions beside each."""
+    n = _norm(spark, d)
+    a = n.where(F.col("text").rlike("[0-9]{5,}")).select(*SESSION, F.col("segment_id").alias("number_segment"), F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
+    b = n.where("join_next").select(*SESSION, "pos", F.col("segment_id").alias("joined_segment"))
+    return a.join(b, [*SESSION, "pos"]).select("number_segment", "joined_segment")
+
+
+@query("SELECT recording_id, CAST(sum(metrics.completion_tokens) AS BIGINT) AS tokens, CAST(sum(metrics.character_count) AS BIGINT) AS characters, count(*) AS calls FROM quality_events GROUP BY recording_id")
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    """A11, A12, C63."""
+    m = F.col("metrics")
+    return read_table(spark, d, "quality_events").groupBy("recording_id").agg(F.sum(m["completion_tokens"]).alias("tokens"), F.sum(m["character_count"]).alias("characters"), F.count("*").alias("calls"))
+
+
+@query(
+    f"""WITH {q.SEG}, c AS (SELECT canonical FROM terminology_eval WHERE regexp_matches(canonical, '^[A-Za-z0-9]+$')), t AS (SELECT segment_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word FROM seg)
+SELECT canonical, count(*) AS occurrences, count(DISTINCT segment_id) AS segments FROM t JOIN c ON word = canonical GROUP BY canonical"""
+)
+def bounded_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of canonical identifiers between word boundaries."""
+    names = read_table(spark, d, "terminology_eval").where(F.col("canonical").rlike("^[A-Za-z0-9]+$")).select("canonical")
+    words = _seg(spark, d).select("segment_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("canonical")).join(names, "canonical")
+    each = words.groupBy("segment_id", "canonical").count()
+    return each.groupBy("canonical").agg(F.sum("count").alias("occurrences"), F.count("*").alias("segments"))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT correction_id, recording_id, status, reason FROM corrections), k AS (SELECT *, CASE status WHEN 'applied' THEN 'decision' WHEN 'rejected' THEN 'highlight' ELSE 'action' END AS kind FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, kind ORDER BY correction_id) AS n FROM k),
+b AS (SELECT *, CASE kind WHEN 'action' THEN 1 WHEN 'decision' THEN 2 ELSE 3 END AS prio FROM r WHERE n <= CASE kind WHEN 'action' THEN 60 ELSE 30 END),
+t AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY prio, n) AS place FROM b)
+SELECT recording_id, kind || '-' || n AS id, correction_id, CAST(place AS INT) AS place FROM t WHERE place <= 400"""
+)
+def evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Entries numbered by kind, in order of priority, under the ledger's caps (caps are the feature)."""
+    c = read_table(spark, d, "corrections").select("correction_id", "recording_id", "status", "reason").distinct()
+    kind = F.when(F.col("status") == "applied", "decision").when(F.col("status") == "rejected", "highlight").otherwise("action")
+    r = c.withColumn("kind", kind).withColumn("n", F.row_number().over(Window.partitionBy("recording_id", "kind").orderBy("correction_id")))
+    r = r.where(F.col("n") <= F.when(F.col("kind") == "action", 60).otherwise(30)).withColumn("prio", F.when(F.col("kind") == "action", 1).when(F.col("kind") == "decision", 2).otherwise(3))
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy("recording_id").orderBy("prio", "n"))).where("place <= 400")
+    return r.select("recording_id", F.concat("kind", F.lit("-"), "n").alias("id"), "correction_id", "place")
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT correction_id, recording_id, {q.correction('from_text')} AS k, to_text, reason FROM corrections WHERE from_text IS NOT NULL AND to_text IS NOT NULL AND to_text <> ''),
+x AS (SELECT {q.correction('canonical')} AS k, min(canonical) AS canonical FROM terminology_eval GROUP BY 1), ra AS (SELECT recording_id, k, CASE WHEN count(DISTINCT to_text) = 1 THEN min(to_text) END AS agreed FROM c WHERE reason = 'recording_consensus' GROUP BY ALL),
+ks AS (SELECT DISTINCT recording_id, k FROM c WHERE length(k) >= 2)
+SELECT recording_id, k AS alias_key, coalesce(canonical, agreed) AS canonical, CASE WHEN canonical IS NOT NULL THEN 'explicit' WHEN agreed IS NOT NULL THEN 'review' ELSE 'open' END AS authority FROM ks LEFT JOIN x USING (k) LEFT JOIN ra USING (recording_id, k)"""
+)
+def authority_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical of each alias by authority: the list, then the one spelling all reviews agree on."""
+    c = read_table(spark, d, "corrections").where("from_text is not null and to_text is not null and to_text != ''").select("correction_id", "recording_id", tx.correction_text(F.col("from_text")).alias("alias_key"), "to_text", "reason").distinct()
+    listed = read_table(spark, d, "terminology_eval").groupBy(tx.correction_text(F.col("canonical")).alias("alias_key")).agg(F.min("canonical").alias("listed"))
+    reviews = c.where("reason = 'recording_consensus'").groupBy("recording_id", "alias_key").agg(F.when(F.countDistinct("to_text") == 1, F.min("to_text")).alias("agreed"))
+    keys = c.where("char_length(alias_key) >= 2").select("recording_id", "alias_key").distinct()
+    j = keys.join(listed, "alias_key", "left").join(reviews, ["recording_id", "alias_key"], "left")
+    return j.select("recording_id", "alias_key", F.coalesce("listed", "agreed").alias("canonical"), F.when(F.col("listed").isNotNull(), "explicit").when(F.col("agreed").isNotNull(), "review").otherwise("open").alias("authority"))
+
+
+@query(
+    """WITH s AS (SELECT recording_id, list_sort(list(DISTINCT speaker)) AS want FROM segments WHERE speaker IS NOT NULL GROUP BY recording_id), c AS (SELECT s.recording_id, count(*) AS n FROM (SELECT DISTINCT correction_id, recording_id FROM corrections) s GROUP BY 1)
+SELECT m.recording_id, coalesce(c.n, 0) AS corrections, coalesce(len(s.want), 0) AS labels, c.n IS NULL AS untouched FROM meetings m LEFT JOIN c USING (recording_id) LEFT JOIN s USING (recording_id)"""
+)
+def competency_join(spark: SparkSession, d: str) -> DataFrame:
+    """What was asked for, in order, beside what was found."""
+    m = read_table(spark, d, "meetings").select("recording_id")
+    s = read_table(spark, d, "segments").where("speaker is not null").groupBy("recording_id").agg(F.countDistinct("speaker").alias("labels"))
+    c = read_table(spark, d, "corrections").groupBy("recording_id").agg(F.countDistinct("correction_id").alias("n"))
+    j = m.join(c, "recording_id", "left").join(s, "recording_id", "left")
+    return j.select("recording_id", F.coalesce("n", F.lit(0)).alias("corrections"), F.coalesce("labels", F.lit(0)).alias("labels"), F.col("n").isNull().alias("untouched"))
+
+
+@query()
+def commitment_proofs(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of each meeting's transcript, over the hashes of its segments in order."""
+    n = _norm(spark, d)
+    h = n.select("recording_id", "session_no", "pos", "end_seconds", tx.source_hash(F.col("pos"), F.col("start_seconds"), F.col("end_seconds"), F.col("speaker"), F.col("text")).alias("h"))
+    g = h.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("x"), F.max("end_seconds").alias("end_seconds"), F.count("*").alias("segments"))
+    return g.select(*SESSION, F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), ","), 256).alias("signature"), "end_seconds", "segments")
+
+
+@query(
+    f"""WITH {q.SEG}, f AS (SELECT segment_id, recording_id, lower({q.nfkc('text')}) AS t FROM seg), han AS (SELECT segment_id, unnest(regexp_extract_all(t, '\\p{{Han}}+')) AS run FROM f),
+g AS (SELECT DISTINCT segment_id, substr(run, CAST(i AS BIGINT), 2) AS token FROM han, LATERAL unnest(generate_series(1, length(run) - 1)) u(i) UNION SELECT DISTINCT segment_id, unnest(regexp_extract_all(t, '[a-z0-9]{{3,}}')) FROM f),
+m AS (SELECT recording_id, lower({q.nfkc('title')}) AS t FROM meetings WHERE title IS NOT NULL), mh AS (SELECT recording_id, unnest(regexp_extract_all(t, '\\p{{Han}}+')) AS run FROM m),
+mg AS (SELECT DISTINCT recording_id, substr(run, CAST(i AS BIGINT), 2) AS token FROM mh, LATERAL unnest(generate_series(1, length(run) - 1)) u(i) UNION SELECT DISTINCT recording_id, unnest(regexp_extract_all(t, '[a-z0-9]{{3,}}')) FROM m)
+SELECT s.segment_id, count(*) AS shared FROM seg s JOIN g USING (segment_id) JOIN mg ON mg.recording_id = s.recording_id AND mg.token = g.token GROUP BY s.segment_id HAVING count(*) >= 2"""
+)
+def context_match(spark: SparkSession, d: str) -> DataFrame:
+    """segments that share two tokens or more (ideograph pairs, Latin words) with their meeting's title."""
+
+    def tokens(c):
+        t = F.lower(tx.nfkc(c))
+        runs = F.regexp_extract_all(t, F.lit(r"\p{IsHan}+"), F.lit(0))
+        pairs = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit("(?=(.{2}))"), F.lit(1))))
+        return F.array_distinct(F.concat(pairs, F.regexp_extract_all(t, F.lit("[a-z0-9]{3,}"), F.lit(0))))
+
+    s = _seg(spark, d).select("segment_id", "recording_id", tokens(F.col("text")).alias("a"))
+    m = read_table(spark, d, "meetings").where("title is not null").select("recording_id", tokens(F.col("title")).alias("b"))
+    j = s.join(m, "recording_id").select("segment_id", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"))
+    return j.where("shared >= 2")

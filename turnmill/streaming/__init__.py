@@ -1,0 +1 @@
+"""Structured Streaming intake and windows."""
