@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,17 +94,17 @@ def priorities(scored: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def pack_by_priority(rows: DataFrame, keys: Sequence[str], order: str, priority: str, size: str, most: int) -> DataFrame:
-    """O2: rows taken by priority, those skipped that no longer fit; a separator costs one."""
-    r = rows.select(*keys, F.col(order).cast("bigint").alias("o_"), F.col(priority).cast("bigint").alias("p_"), F.col(size).cast("bigint").alias("s_"))
+    """O2: rows taken by priority, those skipped that no longer fit; a separator costs one.  Rows stream through; only the size so far is kept."""
+    n = len(keys)
+    r = rows.select(*keys, F.col(order).cast("bigint").alias(order), F.col(priority).cast("bigint").alias("p_"), F.col(size).cast("bigint").alias("s_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields if f.name in keys) + f", `{order}` bigint"
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        taken, total = [], 0
-        for o, s in group.sort_values("p_")[["o_", "s_"]].itertuples(index=False):
-            cost = s + (1 if taken else 0)
-            if total + cost <= most:
-                taken.append(o)
-                total += cost
-        return pd.concat([group[list(keys)].iloc[:1]] * len(taken), ignore_index=True).assign(**{order: sorted(taken)}) if taken else group[list(keys)].iloc[:0].assign(**{order: pd.Series([], dtype="int64")})
-
-    return r.groupBy(*keys).applyInPandas(pack, schema)
+    def step(state: list, row: tuple) -> Iterator[tuple]:
+        if not state or state[0] != row[:n]:
+            state[:] = [row[:n], 0]
+        cost = row[n + 2] + (1 if state[1] else 0)
+        if state[1] + cost <= most:
+            state[1] += cost
+            yield row[: n + 1]
+
+    return r.repartition(*keys).sortWithinPartitions(*keys, "p_").mapInPandas(in_sequence(step, [*keys, order]), schema)

@@ -780,13 +780,13 @@ def visible_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {q.NORM}, l AS (SELECT recording_id, session_no, pos, '**[' || {q.clock('start_seconds')} || '] ' || speaker || '：** ' || text AS line FROM norm)
-SELECT recording_id, session_no, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS body, count(*) AS segments FROM l GROUP BY ALL"""
+SELECT recording_id, session_no, pos // 200 AS page, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS body, count(*) AS segments FROM l GROUP BY ALL"""
 )
 def markdown_export(spark: SparkSession, d: str) -> DataFrame:
-    """Each session as a document."""
+    """Each session as a document, in pages of 200 rows."""
     line = F.concat(F.lit("**["), tx.clock(F.col("start_seconds")), F.lit("] "), F.col("speaker"), F.lit("：** "), F.col("text"))
-    rows = _norm(spark, d).select(*SESSION, F.struct("pos", line.alias("line")).alias("x"))
-    return rows.groupBy(*SESSION).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n\n").alias("body"), F.count("*").alias("segments"))
+    rows = _norm(spark, d).select(*SESSION, F.floor(F.col("pos") / 200).cast("int").alias("page"), F.struct("pos", line.alias("line")).alias("x"))
+    return rows.groupBy(*SESSION, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n\n").alias("body"), F.count("*").alias("segments"))
 
 
 @query(
@@ -850,14 +850,15 @@ def uncorrected_speakers(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN start_seconds >= 0 AND end_seconds > start_seconds THEN end_seconds ELSE 0.0 END AS end_seconds, CASE WHEN start_seconds >= 0 AND end_seconds > start_seconds THEN 'provider' ELSE 'inferred' END AS timing_source, speaker, text FROM norm"""
 )
 def provider_envelopes(spark: SparkSession, d: str) -> DataFrame:
-    """Every session written as a provider's answer, and parsed."""
+    """Every session written as a provider's answers of 256 segments, and parsed."""
     from turnmill.sources.envelopes import parse_responses
 
     seg = F.struct(F.col("start_seconds").alias("start"), F.col("end_seconds").alias("end"), "speaker", "text")
-    body = _norm(spark, d).groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("pos", seg.alias("s")))).alias("x"))
-    body = body.select(F.to_json(F.struct(*SESSION)).alias("id"), F.to_json(F.struct(F.transform("x", lambda x: x["s"]).alias("segments"))).alias("body"))
-    out = parse_responses(body, "id", "body").withColumn("k", F.from_json("id", "recording_id string, session_no int"))
-    return out.select("k.*", "seg_idx", "start_seconds", "end_seconds", "timing_source", "speaker", "text")
+    page = F.floor(F.col("pos") / 256).cast("int")
+    body = _norm(spark, d).groupBy(*SESSION, page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("pos", seg.alias("s")))).alias("x"))
+    body = body.select(F.to_json(F.struct(*SESSION, "page")).alias("id"), F.to_json(F.struct(F.transform("x", lambda x: x["s"]).alias("segments"))).alias("body"))
+    out = parse_responses(body, "id", "body").withColumn("k", F.from_json("id", "recording_id string, session_no int, page int"))
+    return out.select("k.recording_id", "k.session_no", (F.col("k.page") * 256 + F.col("seg_idx")).alias("seg_idx"), "start_seconds", "end_seconds", "timing_source", "speaker", "text")
 
 
 @query("SELECT recording_id, title, summary IS NOT NULL AS told FROM meetings")
@@ -994,7 +995,10 @@ def commitment_proofs(spark: SparkSession, d: str) -> DataFrame:
     """The hash of each meeting's transcript, over the hashes of its segments in order."""
     n = _norm(spark, d)
     h = n.select("recording_id", "session_no", "pos", "end_seconds", tx.source_hash(F.col("pos"), F.col("start_seconds"), F.col("end_seconds"), F.col("speaker"), F.col("text")).alias("h"))
-    g = h.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("x"), F.max("end_seconds").alias("end_seconds"), F.count("*").alias("segments"))
+    # a thousand hashes at a time, so that no row holds a whole hot session
+    p = h.groupBy(*SESSION, F.floor(F.col("pos") / 1024).alias("page")).agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("x"), F.max("end_seconds").alias("end_seconds"), F.count("*").alias("n"))
+    p = p.withColumn("h", F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), ","), 256))
+    g = p.groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("page", "h"))).alias("x"), F.max("end_seconds").alias("end_seconds"), F.sum("n").alias("segments"))
     return g.select(*SESSION, F.sha2(F.array_join(F.transform("x", lambda x: x["h"]), ","), 256).alias("signature"), "end_seconds", "segments")
 
 
@@ -1018,3 +1022,26 @@ def context_match(spark: SparkSession, d: str) -> DataFrame:
     m = read_table(spark, d, "meetings").where("title is not null").select("recording_id", tokens(F.col("title")).alias("b"))
     j = s.join(m, "recording_id").select("segment_id", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"))
     return j.where("shared >= 2")
+
+
+@query(
+    f"""WITH c AS (SELECT recording_id, unnest({q.clauses("coalesce(summary, '')")}) AS clause, unnest(generate_series(1, len({q.clauses("coalesce(summary, '')")}))) AS i, len({q.clauses("coalesce(summary, '')")}) AS n FROM meetings)
+SELECT recording_id, string_agg(clause, '；' ORDER BY i) FILTER (WHERE n <= 8 OR i = 1 OR i = n OR i % 2 = 1) AS thinned, greatest(12, CAST(max(n) AS INT) * 2) AS least FROM c GROUP BY recording_id"""
+)
+def summary_thinning(spark: SparkSession, d: str) -> DataFrame:
+    """Of a summary of more than eight clauses the first, the last and every other one between."""
+    m = read_table(spark, d, "meetings").select("recording_id", tx.clauses(F.coalesce("summary", F.lit(""))).alias("c")).where(F.size("c") > 0)
+    kept = F.filter("c", lambda x, i: (F.size("c") <= 8) | (i == 0) | (i == F.size("c") - 1) | (i % 2 == 0))
+    return m.select("recording_id", F.array_join(kept, "；").alias("thinned"), F.greatest(F.lit(12), F.size("c") * 2).alias("least"))
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT recording_id, correction_id, coalesce(reason, 'none') AS reason FROM corrections WHERE status <> 'applied'), r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY correction_id, reason) AS n FROM v)
+SELECT recording_id, string_agg(reason, ',' ORDER BY n) FILTER (WHERE n <= 40) AS shown, greatest(0, count(*) - 40) AS omitted FROM r GROUP BY recording_id"""
+)
+def bounded_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The first 40 violations of a recording (the report's length is the feature) and how many are left out."""
+    v = read_table(spark, d, "corrections").where("status != 'applied'").select("recording_id", "correction_id", F.coalesce("reason", F.lit("none")).alias("reason")).distinct()
+    v = v.withColumn("n", F.row_number().over(Window.partitionBy("recording_id").orderBy("correction_id", "reason")))
+    shown = F.collect_list(F.when(F.col("n") <= 40, F.struct("n", "reason")))
+    return v.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(shown), lambda x: x["reason"]), ",").alias("shown"), F.greatest(F.lit(0), F.count("*") - 40).alias("omitted"))
