@@ -102,7 +102,7 @@ def spelling_key(text: Column) -> Column:
 def match_text(text: Column) -> Column:
     """Folded, lower case, without white space but line ends, dashes and invisible joiners."""
     return F.regexp_replace(
-        F.lower(nfkc(F.coalesce(text, F.lit("")))), r"[\t\x0B\f \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{feff}\p{Pd}\x{ad}\x{200b}\x{2060}\x{2212}]+", ""
+        F.lower(nfkc(F.coalesce(text, F.lit("")))), r"[\t\x0B\f \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}\p{Pd}\x{ad}\x{200b}\x{2060}\x{2212}]+", ""
     )
 
 

@@ -24,7 +24,7 @@ from turnmill.operators.timeline import SESSION, in_order, temporal_overlap
 # Least units of a certain overlap, speeds of speech, tolerance, and connectors that mean something in technical words.
 LEAST_CJK, LEAST_LETTERS, LEAST_LONG_WORD = 4, 10, 12
 CJK_PER_SECOND, LETTERS_PER_SECOND, WORDS_PER_SECOND, TOLERANCE = 12, 30, 6, 0.2
-TECHNICAL = frozenset("+#@%*=<>$~^|\\")
+TECHNICAL = frozenset(["+", "*", "#", "@", "%", ":", "\\"])
 _CJK = re.compile("[㐀-鿿豈-﫿぀-ヿ가-힯]")
 _QUALIFIER = re.compile(lx.UNSAFE_QUALIFIER.replace("\\x{", "\\u{").replace("\\u{a0}", "\\xa0").replace("\\u{1680}", "\\u1680").replace("\\u{2000}", "\\u2000").replace("\\u{200a}", "\\u200a").replace("\\u{2028}", "\\u2028").replace("\\u{2029}", "\\u2029").replace("\\u{202f}", "\\u202f").replace("\\u{205f}", "\\u205f").replace("\\u{3000}", "\\u3000").replace("\\u{feff}", "\\ufeff"))
 _FACT = re.compile(tx.FACT_PATTERN.replace("(?iu)", "(?i)"))

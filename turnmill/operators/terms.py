@@ -16,6 +16,7 @@ from turnmill.runtime import cut
 #: The most entries of a context and characters of an entry.
 MOST_ENTRIES = 200
 MOST_CHARACTERS = 120
+# Fixed value: the labels of clauses.
 _LABELS = r"(?i)^(术语|专有名词|项目名|产品名|公司名|组织名|人名|姓名|负责人|参会人|人员|别名|terms?|project|product|company|organization|names?|aliases?)[ \t]*[:：=]?[ \t]*(.+)$"
 
 

@@ -214,8 +214,8 @@ def cues(norm: DataFrame) -> DataFrame:
     a = tx.seconds_or_zero(F.col("start_seconds"))
     nxt = tx.seconds_or_zero(F.lead("start_seconds").over(w))
     end = F.when(F.col("end_seconds") > a, F.col("end_seconds")).when(nxt > a, nxt).otherwise(a + 4)
-    text = F.regexp_replace(F.col("text"), r"-->", "→")
-    return norm.select(*SESSION, "pos", F.concat(tx.clock(a, True), F.lit(" --> "), tx.clock(end, True)).alias("timing"), F.concat(F.lit("<v "), F.col("speaker"), F.lit(">"), text).alias("cue"))
+    cue = F.concat(F.coalesce("speaker", F.lit(SPEAKER)), F.lit("："), F.col("text"))
+    return norm.select(*SESSION, "pos", (F.col("pos") + 1).alias("number"), F.concat(tx.clock(a, True), F.lit(" --> "), tx.clock(end, True)).alias("timing"), cue.alias("cue"))
 
 
 def temporal_overlap(norm: DataFrame, least: float = 0.25) -> DataFrame:

@@ -207,7 +207,7 @@ def readable_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {q.NORM}, c AS (SELECT *, {q.clamp('start_seconds')} AS a FROM norm), n AS (SELECT *, lead(a) OVER (PARTITION BY recording_id, session_no ORDER BY pos) AS nxt FROM c),
 e AS (SELECT *, CASE WHEN end_seconds > a THEN end_seconds WHEN nxt > a THEN nxt ELSE a + 4 END AS z FROM n)
-SELECT recording_id, session_no, pos, {q.clock('a', True)} || ' --> ' || {q.clock('z', True)} AS timing, '<v ' || speaker || '>' || replace(text, '-->', '→') AS cue FROM e"""
+SELECT recording_id, session_no, pos, {q.clock('a', True)} || ' --> ' || {q.clock('z', True)} AS timing, pos + 1 AS number, speaker || '：' || text AS cue FROM e"""
 )
 def vtt_cues(spark: SparkSession, d: str) -> DataFrame:
     """K4, W14, C46."""

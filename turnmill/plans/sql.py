@@ -75,7 +75,7 @@ def alias_key(x: str) -> str:
 def match_text(x: str) -> str:
     return sub(
         f"lower({nfkc(f'coalesce({x}, {chr(39) * 2})')})",
-        r"[\t\x0B\f \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{feff}\p{Pd}\x{ad}\x{200b}\x{2060}\x{2212}]+",
+        r"[\t\x0B\f \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}\p{Pd}\x{ad}\x{200b}\x{2060}\x{2212}]+",
     )
 
 
