@@ -102,7 +102,10 @@ def quality_event_reasons(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.array_join(codes, ",").alias("codes"))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT event_id, CAST(floor(duration_seconds * 16000) AS BIGINT) AS n FROM quality_events WHERE action = 'split'), p AS (SELECT *, greatest(2, CAST(ceil(n / 160000.0) AS BIGINT)) AS k FROM e)
+SELECT event_id, n AS samples, CAST(i AS INT) AS piece, n // k + CASE WHEN i < n % k THEN 1 ELSE 0 END AS size FROM p, LATERAL unnest(range(0, k)) u(i) WHERE n >= 160000 AND n // k >= 80000"""
+)
 def split_plan(spark: SparkSession, d: str) -> DataFrame:
     """The pieces that each event's chunk would be cut into."""
     e = read_table(spark, d, "quality_events").where("action = 'split'")
