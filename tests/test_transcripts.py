@@ -163,6 +163,41 @@ def test_components_against_union_find(spark):
     assert got == {n: find(n) for n in parent}
 
 
+def test_plausible_pairs_of_every_script(spark, tmp_path):
+    import unicodedata
+
+    import __spark_entry__ as entry
+
+    texts = ["磐石网关", "磐石往关", "磐石网", "网关磐石系统", "听雨巷", "Nettle网关", "nettle 网关", "Mettle往关", "NettleHook", "nettlehok", "Kettlehook", "Очередь", "очереть", "ａｂｃ", "abc", "关", "磐石网关服务", "盘古网观服务"]
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    spark.createDataFrame([*pairs, pairs[5], (-1, None, "磐石网关"), (-2, "磐石网关", None)], "correction_id bigint, from_text string, to_text string").write.parquet(f"{tmp_path}/corrections.parquet")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def brute(a, b):
+        x, y = (unicodedata.normalize("NFKC", t).lower().replace(" ", "") for t in (a, b))
+        if min(len(x), len(y)) < 3:
+            return False
+        if x == y:
+            return unicodedata.normalize("NFKC", a) != unicodedata.normalize("NFKC", b)
+        if x.isascii() and y.isascii() and x[0] != y[0]:
+            return False
+        return distance(x, y) <= max(2, -(-max(len(x), len(y)) * 45 // 100))
+
+    want = {i: brute(a, b) for i, a, b in pairs}
+    rows = entry.queries()["plausible_pairs_all"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {r.correction_id: r.plausible for r in rows} == want
+    assert {brute(a, b) for _, a, b in pairs if not (a + b).isascii()} == {True, False}
+    part = {r.correction_id: r.plausible for r in entry.queries()["plausible_pairs"](spark, str(tmp_path)).collect()}
+    assert part.items() <= want.items() and len(part) < len(want)
+
+
 def test_terms_in_text():
     assert terms.ranges_in("Use Nettle-Hook, not nettlehooks", "nettle hook") == [(4, 15)]
     assert terms.ranges_in("ａｂｃ abc xabc", "ABC") == [(0, 3), (4, 7)]

@@ -591,20 +591,30 @@ def ledger_offsets(spark: SparkSession, d: str) -> DataFrame:
     return j.select("correction_id", (F.substring(F.col("text"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset")) == F.col("from_text")).alias("reads_back"))
 
 
+def _typed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "corrections").where("from_text is not null and to_text is not null").select("correction_id", "from_text", "to_text").distinct()
+
+
 @query(
     f"""WITH c AS (SELECT DISTINCT correction_id, {q.correction('from_text')} AS a, {q.correction('to_text')} AS k, {q.nfkc('from_text')} AS fa, {q.nfkc('to_text')} AS fk FROM corrections WHERE from_text IS NOT NULL AND to_text IS NOT NULL)
 SELECT correction_id, CASE WHEN length(a) < 3 OR length(k) < 3 THEN false WHEN a = k THEN fa <> fk WHEN regexp_matches(a, '^[a-z0-9+#]+$') AND regexp_matches(k, '^[a-z0-9+#]+$') THEN substr(a, 1, 1) = substr(k, 1, 1) AND levenshtein(a, k) <= greatest(2, ceil(greatest(length(a), length(k)) * 0.45)) END AS plausible
 FROM c WHERE (length(a) < 3 OR length(k) < 3 OR a = k OR (regexp_matches(a, '^[a-z0-9+#]+$') AND regexp_matches(k, '^[a-z0-9+#]+$')))"""
 )
 def plausible_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of ASCII keys (the oracle's edit distance counts bytes), equal or short ones."""
-    c = read_table(spark, d, "corrections").where("from_text is not null and to_text is not null").select("correction_id", "from_text", "to_text").distinct()
+    """F16 of the pairs that the oracle can decide: ASCII keys (its edit distance counts bytes), equal or short ones."""
+    c = _typed_pairs(spark, d)
     a, k = tx.correction_text(F.col("from_text")), tx.correction_text(F.col("to_text"))
     ascii_ = r"^[a-z0-9+#]+$"
     c = c.where((F.char_length(a) < 3) | (F.char_length(k) < 3) | (a == k) | (a.rlike(ascii_) & k.rlike(ascii_)))
     return c.select("correction_id", tx.plausible_pair(F.col("from_text"), F.col("to_text")).alias("plausible"))
 
 
+@query()
+def plausible_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """F16 of every pair, whatever its script."""
+    return _typed_pairs(spark, d).select("correction_id", tx.plausible_pair(F.col("from_text"), F.col("to_text")).alias("plausible"))
+
+
 @query(
     f"""WITH {q.SEG}, c AS (SELECT DISTINCT correction_id, segment_id, recording_id, {q.correction('from_text')} AS k, from_text, to_text, {q.nfkc('to_text')} AS tk FROM corrections WHERE from_text IS NOT NULL AND to_text IS NOT NULL AND to_text <> ''),
 j AS (SELECT c.*, (length(text) - length(replace(text, from_text, ''))) // length(from_text) AS occ FROM c JOIN seg USING (segment_id) WHERE from_text <> '' AND contains(text, from_text)),
