@@ -5,6 +5,7 @@ import pytest
 
 from turnmill.llm import pii_samples
 from turnmill.llm.pii import KINDS, LABELS, Field, find, found_kinds, plain_with_offsets, redact, redacted, trained
+from turnmill.llm.queries import p4_redacted
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +61,14 @@ def test_tables(spark, field):
     out = {r.row_key: (r.text, r.kinds) for r in redacted(meet, "recording_id", "summary", "s").collect()}
     assert out == {"r1": ("他现在住在[ADDRESS]。", ["address"]), "r2": (None, []), "r3": ("", [])}
     assert found_kinds(seg.limit(0), meet.limit(0)).count() == 0
+
+
+def test_query_redacts_segments_and_summaries(spark, tmp_path):
+    texts = [(1, "mail a@example.org now", 0), (1, "mail a@example.org now", 1), (2, None, 0), (3, "", 0), (4, "x " * 40_000 + "call me on (202) 555-0143", 0), (5, "nothing here", 0), (6, "他现在住在澄江市鹿鸣区听雨巷27号。", 0)]
+    spark.createDataFrame(texts, "segment_id bigint, text string, ingested_at int").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([("1", "write to b@example.org"), ("r2", None)], "recording_id string, summary string").write.parquet(f"{tmp_path}/meetings.parquet")
+    got = sorted(((r.field, r.row_key, r.text, r.kinds) for r in p4_redacted(spark, str(tmp_path)).collect()), key=lambda x: x[:2])
+    assert got == [
+        ("meetings.summary", "1", "write to [EMAIL]", ["email"]), ("meetings.summary", "r2", None, []), ("segments.text", "1", "mail [EMAIL] now", ["email"]), ("segments.text", "2", None, []),
+        ("segments.text", "3", "", []), ("segments.text", "4", "x " * 40_000 + "call me on [PHONE]", ["phone"]), ("segments.text", "5", "nothing here", []), ("segments.text", "6", "他现在住在[ADDRESS]。", ["address"]),
+    ]

@@ -36,8 +36,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every meeting summary with placeholders."""
-    return pii.redacted(read_table(spark, sf_dir, "meetings"), "recording_id", "summary", "meetings.summary")
+    """Every segment text and every meeting summary with placeholders."""
+    segments = read_table(spark, sf_dir, "segments").select("segment_id", "text").distinct()
+    return pii.redacted(segments, "segment_id", "text", "segments.text").unionByName(
+        pii.redacted(read_table(spark, sf_dir, "meetings"), "recording_id", "summary", "meetings.summary")
+    )
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
