@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from turnmill.llm.forms import canonical, canonical_values, found_forms
+from turnmill.llm.queries import p1_forms
 
 
 def test_cases():
@@ -35,3 +36,13 @@ def test_found_counts_repeated_rows_once(spark):
     assert found_forms(seg.limit(0), cor.limit(0)).count() == 0
     plain = {r.row_id: r.plain for r in canonical_values(seg, "segment_id", "text", "f").collect()}
     assert plain == {1: "a b", 2: "ok", 3: None, 4: "", 5: "x" * 50_000}
+
+
+def test_query_gives_forms_of_segments_and_corrections(spark, tmp_path):
+    spark.createDataFrame([(1, "use ＮettleHook​ now", 9), (1, "use ＮettleHook​ now", 8), (2, None, 1)], "segment_id bigint, text string, row_id int").write.parquet(f"{tmp_path}/segments.parquet")
+    spark.createDataFrame([(1, "Nеttle​Hook"), (1, "Nеttle​Hook"), (2, None), (3, ""), (4, "磐石")], "correction_id bigint, from_text string").write.parquet(f"{tmp_path}/corrections.parquet")
+    rows = [tuple(r) for r in p1_forms(spark, str(tmp_path)).collect()]
+    assert len(rows) == 6 and set(rows) == {
+        ("segments.text", 1, "use NettleHook now"), ("segments.text", 2, None),
+        ("corrections.from_text", 1, "NettleHook"), ("corrections.from_text", 2, None), ("corrections.from_text", 3, ""), ("corrections.from_text", 4, "磐石"),
+    }

@@ -13,10 +13,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent form of every segment text."""
-    return forms.canonical_values(read_table(spark, sf_dir, "segments"), "segment_id", "text", "segments.text").select(
-        "field", "row_id", "plain"
-    ).distinct()
+    """The consistent form of every segment text and of every typed term of the corrections."""
+    texts = forms.canonical_values(read_table(spark, sf_dir, "segments"), "segment_id", "text", "segments.text")
+    typed = forms.canonical_values(read_table(spark, sf_dir, "corrections"), "correction_id", "from_text", "corrections.from_text")
+    return texts.unionByName(typed).select("field", "row_id", "plain").distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
