@@ -61,3 +61,17 @@ def test_clean_text(spark):
     rows = [("r", 0, 1, 0, 0.0, "S1", "[00:01] S1: Um, let us go. [laughter]"), ("r", 0, 2, 1, 1.0, "S1", "嗯，好 （掌声）")]
     [row] = clean_turn_parts(frame(spark, rows)).collect()
     assert row.text == "let us go. 好" and (row.first_segment_id, row.last_segment_id) == (1, 2)
+
+
+def test_clean_turns_are_whole_across_blocks(spark):
+    # blocks of about 4,194 s: a turn over three blocks, a run inside a block, a turn that comes back in the next block
+    at = [(0.0, 1), (4000.0, 2), (4100.0, 2), (4200.0, 2), (8300.0, 2), (8400.0, 2), (8500.0, 1), (8600.0, 3), (8700.0, 2), (13000.0, 1), (13100.0, 2), (17000.0, 1)]
+    rows = [("r", 0, i, i, t, f"S{s}", f"[00:01] S{s}: um, w{i}") for i, (t, s) in enumerate(at)]
+    df = frame(spark, [*rows, rows[3]])
+    got = sorted(clean_turn_parts(df).collect(), key=lambda r: (r.block, r.part_no))
+    assert [(r.speaker_no, r.first_segment_id, r.last_segment_id, r.text) for r in got] == [
+        (1, 0, 0, "w0"), (2, 1, 5, "w1 w2 w3 w4 w5"), (1, 6, 6, "w6"), (3, 7, 7, "w7"), (2, 8, 8, "w8"), (1, 9, 9, "w9"), (2, 10, 10, "w10"), (1, 11, 11, "w11"),
+    ]
+    keys = ["recording_id", "session_no", "speaker_no", "first_segment_id", "last_segment_id"]
+    assert {tuple(r[k] for k in keys) for r in got} == {tuple(r) for r in speaker_turns(df).collect()}
+    assert clean_turn_parts(df.limit(0)).count() == 0

@@ -199,7 +199,7 @@ def with_speakers(segments: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def turn_parts(rows: DataFrame) -> DataFrame:
-    """Runs of one speaker within a block, with the turn that each belongs to: ``first_`` names the turn's first part."""
+    """Runs of one speaker within a block, numbered in ``run_``; ``runs_`` is how many the block has."""
     session, block = ["recording_id", "session_no"], ["recording_id", "session_no", "block"]
     order = ["start_ms", "seg_idx", "segment_id"]
     w = Window.partitionBy(*block).orderBy(*order)
@@ -219,33 +219,44 @@ def turn_parts(rows: DataFrame) -> DataFrame:
     return runs.withColumn("runs_", F.max("run_").over(Window.partitionBy(*block)))
 
 
-def speaker_turns(segments: DataFrame) -> DataFrame:
-    """``(recording_id, session_no, speaker_no, first_segment_id, last_segment_id)`` of every turn."""
+def joined_turns(runs: DataFrame) -> DataFrame:
+    """The turns that runs make up: the first and the last run of each block joined across the blocks of a session.
+
+    ``block`` and ``run_`` are those of a turn's first part, so they order the turns of a session.
+    """
     session = ["recording_id", "session_no"]
-    out = [*session, "speaker_no", "first_segment_id", "last_segment_id"]
-    runs = turn_parts(with_speakers(segments))
+    texts = ["text"] if "text" in runs.columns else []
+    out = [*session, "block", "run_", "speaker_no", "first_segment_id", "last_segment_id", *texts]
     inner = runs.where("run_ > 1 and run_ < runs_").select(*out)
     # the first and the last run of each block: a stretch of equal speakers is one turn,
     # unless other runs of the same block lie between
     w = Window.partitionBy(*session).orderBy("block", "run_")
     ends = runs.where("run_ = 1 or run_ = runs_")
     joins = F.col("speaker_no").eqNullSafe(F.lag("speaker_no").over(w)) & (F.lag("block").over(w) != F.col("block"))
+    at = F.struct("block", "run_")
     joined = (
         ends.withColumn("new_", F.when(joins, 0).otherwise(1))
         .withColumn("turn_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*session, "turn_")
         .agg(
+            F.min(at).alias("at_"),
             F.first("speaker_no").alias("speaker_no"),
-            F.min_by("first_segment_id", F.struct("block", "run_")).alias("first_segment_id"),
-            F.max_by("last_segment_id", F.struct("block", "run_")).alias("last_segment_id"),
+            F.min_by("first_segment_id", at).alias("first_segment_id"),
+            F.max_by("last_segment_id", at).alias("last_segment_id"),
+            *[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "run_", "text"))), lambda x: x["text"]), " ").alias(t) for t in texts],
         )
-        .select(*out)
+        .select(*[F.col(f"at_.{c}").alias(c) if c in ("block", "run_") else c for c in out])
     )
     return inner.unionByName(joined)
 
 
+def speaker_turns(segments: DataFrame) -> DataFrame:
+    """``(recording_id, session_no, speaker_no, first_segment_id, last_segment_id)`` of every turn."""
+    return joined_turns(turn_parts(with_speakers(segments))).select("recording_id", "session_no", "speaker_no", "first_segment_id", "last_segment_id")
+
+
 def clean_turn_parts(segments: DataFrame) -> DataFrame:
-    """Clean text of the turns, one row for each part of a turn inside a time block, in order of ``(block, part_no)``."""
-    return turn_parts(with_speakers(segments, with_text=True)).select(
+    """Clean text of the turns, one row for each whole turn, in order of ``(block, part_no)``: where its first part stands."""
+    return joined_turns(turn_parts(with_speakers(segments, with_text=True))).select(
         "recording_id", "session_no", "block", F.col("run_").alias("part_no"), "speaker_no", "first_segment_id", "last_segment_id", "text"
     )
