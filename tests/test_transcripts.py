@@ -144,6 +144,14 @@ def test_aliases_close_over_cycles_and_conflicts(spark):
     assert got == {"aa": "dd", "bb": "dd", "cc": "dd", "xx": None, "yy": None, "tail": None, "k1": None, "into": None, "self": "Self"}
 
 
+def test_context_overflow(spark):
+    rows = [("at", "terms: " + ",".join(f"term{i}" for i in range(200))), ("over", "terms: " + ",".join(f"term{i}" for i in range(150)) + "；别名: " + "，".join(f"a{i} -> b{i}" for i in range(51))), ("none", "no label here"), ("blank", None)]
+    df = spark.createDataFrame(rows, "k string, t string")
+    assert {tuple(r) for r in terms.context_overflow(df, "k", "t").collect()} == {("at", 200, False), ("over", 201, True), ("none", 0, False), ("blank", 0, False)}
+    got = terms.parse_context(df, "k", "t").groupBy("k").count().collect()
+    assert {tuple(r) for r in got} == {("at", 200), ("over", 200)}
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(4)
     edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(120)]

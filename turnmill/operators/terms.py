@@ -20,19 +20,32 @@ MOST_CHARACTERS = 120
 _LABELS = r"(?i)^(术语|专有名词|项目名|产品名|公司名|组织名|人名|姓名|负责人|参会人|人员|别名|terms?|project|product|company|organization|names?|aliases?)[ \t]*[:：=]?[ \t]*(.+)$"
 
 
+def _entries(contexts: DataFrame, key: str, text: str) -> DataFrame:
+    """Every entry of the labelled clauses, numbered by ``ord``."""
+    clause = F.posexplode(F.split(F.col(text), r"[；;\n]+"))
+    rows = contexts.select(F.col(key).alias("k_"), clause.alias("c_", "clause")).withColumn("clause", tx.js_trim(F.col("clause")))
+    rows = rows.where(F.col("clause").rlike(_LABELS)).select("k_", "c_", F.regexp_extract("clause", _LABELS, 1).alias("label"), F.regexp_extract("clause", _LABELS, 2).alias("rest"))
+    parts = F.when(F.col("rest").rlike("->|→"), F.split("rest", r"[、,，|]+")).otherwise(F.split("rest", r"[、,，|/]+"))
+    rows = rows.select("k_", "c_", "label", F.posexplode(F.filter(F.transform(parts, tx.js_trim), lambda x: x != "")).alias("e_", "entry"))
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("k_").orderBy("c_", "e_")))
+
+
+def context_overflow(contexts: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, entries, overflow)`` of every context: how many entries it has, and whether ``parse_context`` leaves some out."""
+    n = _entries(contexts, key, text).groupBy("k_").agg(F.max("ord").alias("n_"))
+    keys = contexts.select(F.col(key)).distinct()
+    j = keys.join(n, keys[key].eqNullSafe(n["k_"]), "left").select(key, F.coalesce("n_", F.lit(0)).alias("entries"))
+    return j.withColumn("overflow", F.col("entries") > MOST_ENTRIES)
+
+
 def parse_context(contexts: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, ord, kind, alias, canonical, alias_key)`` of a labelled context's entries, the first 200 of each.
 
     Clauses end at semicolons and line ends; entries are split by commas and bars,
     and by slashes where the clause maps nothing; ``a -> b`` maps an alias.
+    ``context_overflow`` tells which contexts have more.
     """
-    clause = F.posexplode(F.split(F.col(text), r"[；;\n]+"))
-    rows = contexts.select(F.col(key).alias("k_"), clause.alias("c_", "clause")).withColumn("clause", tx.js_trim(F.col("clause")))
-    rows = rows.where(F.col("clause").rlike(_LABELS)).select("k_", "c_", F.regexp_extract("clause", _LABELS, 1).alias("label"), F.regexp_extract("clause", _LABELS, 2).alias("rest"))
-    parts = F.when(F.col("rest").rlike("->|→"), F.split("rest", r"[、,，|]+")).otherwise(F.split("rest", r"[、,，|/]+"))
-    rows = rows.select("k_", "c_", "label", F.posexplode(F.filter(F.transform(parts, tx.js_trim), lambda x: x != "")).alias("e_", "entry"))
-    ord_ = F.row_number().over(Window.partitionBy("k_").orderBy("c_", "e_"))
-    rows = rows.withColumn("ord", ord_).where(F.col("ord") <= MOST_ENTRIES)
+    rows = _entries(contexts, key, text).where(F.col("ord") <= MOST_ENTRIES)
     arrow = r"^(.+?)[ \t]*(?:->|→)[ \t]*(.+)$"
     maps = F.col("entry").rlike(arrow)
     alias, canonical = tx.js_trim(F.regexp_extract("entry", arrow, 1)), tx.js_trim(F.regexp_extract("entry", arrow, 2))

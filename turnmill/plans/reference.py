@@ -466,6 +466,14 @@ def merge_speaker_points(spark: SparkSession, d: str) -> DataFrame:
 # ---- terminology (S22, J4, J7, A5, A6, G1, G2, F16 to F22, L3, L5, L21) --------------------
 
 
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    """The reference list written in the naming language, a context for each entry."""
+    t = read_table(spark, d, "terminology_eval").select("eval_id", "canonical", F.explode("aliases").alias("alias")).distinct()
+    bare = lambda c: F.translate(F.col(c), ",，|、；;", "      ")
+    entry = F.concat(bare("alias"), F.lit(" -> "), bare("canonical"))
+    return t.groupBy("eval_id").agg(F.concat(F.lit("别名: "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alias", entry.alias("e")))), lambda x: x["e"]), "，")).alias("text"))
+
+
 @query(
     """WITH t AS (SELECT eval_id, canonical, unnest(aliases) AS alias FROM terminology_eval), m AS (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY alias) AS ord FROM (SELECT DISTINCT eval_id, canonical, alias FROM t)),
 """
@@ -475,15 +483,17 @@ WHERE alias <> '' AND length({q.correction('alias')}) >= 2 AND length({q.correct
 )
 def terminology_context(spark: SparkSession, d: str) -> DataFrame:
     """The reference list written in the naming language, and parsed again."""
-    t = read_table(spark, d, "terminology_eval").select("eval_id", "canonical", F.explode("aliases").alias("alias")).distinct()
-    bare = lambda c: F.translate(F.col(c), ",，|、；;", "      ")
-    entry = F.concat(bare("alias"), F.lit(" -> "), bare("canonical"))
-    text = t.groupBy("eval_id").agg(F.concat(F.lit("别名: "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alias", entry.alias("e")))), lambda x: x["e"]), "，")).alias("text"))
-    out = terms.parse_context(text, "eval_id", "text").where("kind = 'mapping'")
+    out = terms.parse_context(_context(spark, d), "eval_id", "text").where("kind = 'mapping'")
     n = F.row_number().over(Window.partitionBy("eval_id").orderBy("ord"))
     return out.select("eval_id", n.alias("n"), "alias", "canonical", "alias_key")
 
 
+@query()
+def terminology_overflow(spark: SparkSession, d: str) -> DataFrame:
+    """Of each context of ``terminology_context``, how many entries it has and whether some are left out."""
+    return terms.context_overflow(_context(spark, d), "eval_id", "text")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "corrections").where("status = 'applied' and from_text is not null and to_text is not null")
     return c.select("correction_id", "recording_id", "from_text", "to_text").distinct()
@@ -931,7 +941,7 @@ def stream_intake(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.segment_id AS number_segment, b.segment_id AS joined_segment FROM a JOIN b ON a.recording_id = b.recording_id AND a.session_no = b.session_no AND abs(a.pos - b.pos) <= 1"""
 )
 def band_join(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours at most one position apart, as a hash join on the positions beside each."""
+    """Neighbours at most one position apart, as a hash join on the positions beside each."""
     n = _norm(spark, d)
     a = n.where(F.col("text").rlike("[0-9]{5,}")).select(*SESSION, F.col("segment_id").alias("number_segment"), F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
     b = n.where("join_next").select(*SESSION, "pos", F.col("segment_id").alias("joined_segment"))
@@ -981,7 +991,7 @@ ks AS (SELECT DISTINCT recording_id, k FROM c WHERE length(k) >= 2)
 SELECT recording_id, k AS alias_key, coalesce(canonical, agreed) AS canonical, CASE WHEN canonical IS NOT NULL THEN 'explicit' WHEN agreed IS NOT NULL THEN 'review' ELSE 'open' END AS authority FROM ks LEFT JOIN x USING (k) LEFT JOIN ra USING (recording_id, k)"""
 )
 def authority_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The canonical of each alias by authority: the list, then the one spelling all reviews agree on."""
+    """The canonical of each alias by authority: the list, then the one spelling all reviews agree on."""
     c = read_table(spark, d, "corrections").where("from_text is not null and to_text is not null and to_text != ''").select("correction_id", "recording_id", tx.correction_text(F.col("from_text")).alias("alias_key"), "to_text", "reason").distinct()
     listed = read_table(spark, d, "terminology_eval").groupBy(tx.correction_text(F.col("canonical")).alias("alias_key")).agg(F.min("canonical").alias("listed"))
     reviews = c.where("reason = 'recording_consensus'").groupBy("recording_id", "alias_key").agg(F.when(F.countDistinct("to_text") == 1, F.min("to_text")).alias("agreed"))
