@@ -1,9 +1,10 @@
+import re
 import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from turnmill.llm.forms import canonical, canonical_values, found_forms
+from turnmill.llm.forms import JAVA_SUSPECT, canonical, canonical_values, found_forms
 from turnmill.llm.queries import p1_forms
 
 
@@ -46,3 +47,13 @@ def test_query_gives_forms_of_segments_and_corrections(spark, tmp_path):
         ("segments.text", 1, "use NettleHook now"), ("segments.text", 2, None),
         ("corrections.from_text", 1, "NettleHook"), ("corrections.from_text", 2, None), ("corrections.from_text", 3, ""), ("corrections.from_text", 4, "磐石"),
     }
+
+
+def test_prefilter_keeps_every_text_that_changes(spark):
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and canonical(chr(c)) != chr(c)]
+    assert set("ĲĳĿŀŉſǄǌǱǳ") <= set(letters)
+    assert [c for c in letters if not re.search(JAVA_SUSPECT, c)] == []
+    seg = spark.createDataFrame(list(enumerate(letters)), "segment_id bigint, text string")
+    cor = spark.createDataFrame([(1, "ĳs"), (2, "naïve Łódź")], "correction_id bigint, from_text string")
+    assert {tuple(r) for r in found_forms(seg, cor).collect()} == {*(("segments.text", i) for i in range(len(letters))), ("corrections.from_text", 1)}
+    assert {r.row_id: r.plain for r in canonical_values(seg, "segment_id", "text", "f").collect()} == {i: canonical(c) for i, c in enumerate(letters)}

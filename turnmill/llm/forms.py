@@ -52,13 +52,6 @@ _BLANKS = frozenset("͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ")
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"
 _OTHER = "Ͱ-ͳͶ-ͽͿΆ-ϿЀ-ҁҊ-ԯ"
 
-#: Rows outside this Java pattern hold nothing unstable and never leave the JVM.
-JAVA_SUSPECT = (
-    "[^\\u0009-\\u000d\\u0020-\\u007e\\u0085\\u00a1-\\u00a7\\u00a9\\u00ab\\u00ac\\u00ae\\u00b0\\u00b1\\u00b6\\u00b7\\u00bb\\u00bf-\\u02af"
-    "\\u2013-\\u2016\\u2018-\\u2022\\u2026\\u2030\\u2190-\\u22ff\\u2500-\\u27bf\\u3001-\\u3020\\u4e00-\\u9fff\\uff01-\\uff0c\\uff0e\\uff0f\\uff1a-\\uff20]"
-)
-
-
 @cache
 def _compat_class() -> str:
     """Letters, digits and ideographs whose ``NFKC_QC`` is No, as a character class."""
@@ -82,6 +75,31 @@ def _compat_class() -> str:
     return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a != b else re.escape(chr(a)) for a, b in out)
 
 
+# What a text of no suspects may hold, but for compatibility letters among it, as ranges of code points.
+_STABLE = [
+    (0x09, 0x0D), (0x20, 0x7E), (0x85, 0x85), (0xA1, 0xA7), (0xA9, 0xA9), (0xAB, 0xAC), (0xAE, 0xAE), (0xB0, 0xB1), (0xB6, 0xB7), (0xBB, 0xBB), (0xBF, 0x2AF),
+    (0x2013, 0x2016), (0x2018, 0x2022), (0x2026, 0x2026), (0x2030, 0x2030), (0x2190, 0x22FF), (0x2500, 0x27BF), (0x3001, 0x3020), (0x4E00, 0x9FFF),
+    (0xFF01, 0xFF0C), (0xFF0E, 0xFF0F), (0xFF1A, 0xFF20),
+]
+
+
+def _java_suspect() -> str:
+    """A Java class of all but the stable characters; what ``_compat_class`` holds is never stable."""
+    compat = re.compile(f"[{_compat_class()}]")
+    out = []
+    for lo, hi in _STABLE:
+        start = lo
+        for c in [*(c for c in range(lo, hi + 1) if compat.match(chr(c))), hi + 1]:
+            if start < c:
+                out.append(f"\\u{start:04x}" + (f"-\\u{c - 1:04x}" if start < c - 1 else ""))
+            start = c + 1
+    return "[^" + "".join(out) + "]"
+
+
+#: Rows outside this Java pattern hold nothing unstable and never leave the JVM.
+JAVA_SUSPECT = _java_suspect()
+
+
 @cache
 def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     compat = _compat_class()
