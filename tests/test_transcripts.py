@@ -171,6 +171,13 @@ def test_components_against_union_find(spark):
     assert got == {n: find(n) for n in parent}
 
 
+def test_components_never_end_unsettled(spark):
+    df = spark.createDataFrame([(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)], "a string, b string")
+    with pytest.raises(ValueError, match="not settled"):
+        terms.components(df, "a", "b", 2)
+    assert {r.component for r in terms.components(df, "a", "b").collect()} == {"c000"}
+
+
 def test_plausible_pairs_of_every_script(spark, tmp_path):
     import unicodedata
 

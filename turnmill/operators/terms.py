@@ -99,11 +99,18 @@ def close_aliases(edges: DataFrame, keys: Sequence[str], rounds: int = 12) -> Da
     return state.select(*keys, "alias_key", F.when(~F.col("bad") & ~F.col("open"), F.col("canonical")).alias("terminal"))
 
 
-def components(edges: DataFrame, left: str, right: str, rounds: int = 30) -> DataFrame:
-    """``(node, component)``, the component named by its least node; min-label propagation with path shortening."""
+def components(edges: DataFrame, left: str, right: str, rounds: int | None = None) -> DataFrame:
+    """``(node, component)``, the component named by its least node; min-label propagation with path shortening.
+
+    Goes on until no label changes; where ``rounds`` are given and do not suffice, it raises.
+    """
     both = cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).unionByName(edges.select(F.col(right).alias("a"), F.col(left).alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
+    done = 0
+    while True:
+        if done == rounds:
+            raise ValueError(f"components are not settled after {rounds} rounds")
+        done += 1
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
         jump = labels.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         fresh = (
