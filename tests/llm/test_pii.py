@@ -34,6 +34,17 @@ def test_placeholders_leave_the_rest_alone(field):
         assert redact(same, field) == (same, [])
 
 
+def test_names_that_are_words_too(spark, field):
+    named = {"Please ask Mark first, then deploy.": "Mark", "Please ask Will about the cache.": "Will", "Mark said the queue is late.": "Mark", "Thanks to Mark for the notes.": "Mark"}
+    for text, name in named.items():
+        assert redact(text, field) == (text.replace(name, "[PERSON_NAME]"), ["person_name"])
+    plain = ["Mark the ticket as done.", "Mark the chunk as unlabelled like and give it a grace period.", "Will you send it?", "May we begin?", "It is due in May."]
+    for text in plain:
+        assert redact(text, field) == (text, [])
+    df = spark.createDataFrame(list(enumerate([*named, *plain])), "segment_id bigint, text string")
+    assert {r.row_key for r in found_kinds(df, df.selectExpr("cast(segment_id as string) as recording_id", "text as summary").limit(0)).collect()} == {str(i) for i in range(len(named))}
+
+
 def test_offsets_lead_back():
     plain, at = plain_with_offsets("ａ​Ｂ ﬁ中")
     assert plain == "aB fi中" and [("ａ​Ｂ ﬁ中")[i] for i in at[:-1]] == ["ａ", "Ｂ", " ", "ﬁ", "ﬁ", "中"]

@@ -93,7 +93,9 @@ _STARTERS = (
     "The|This|That|These|Those|There|They|Their|Then|Than|Thats|What|When|Where|Which|While|Who|Whose|Why|Will|With|Would|You|Your|Yes|Yet|And|Any|Are|Also|After|About|Across|All|Another|Because|Before|But|Both|By|Can|Could|Call|Did|Does|Each|Either|Every|For|From|Had|Has|Have|Her|Here|His|How|However|Into|Its|It|Just|Let|Lets|Mark|May|Maybe|More|Most|My|Neither|Never|Nobody|None|Not|Now|Once|One|Only|Our|Out|Over|Please|Send|Ship|She|Should|Since|Some|Somebody|Someone|So|Still|Such|Text|Thanks|Though|Today|Too|Two|Until|Very|Was|We|Well|Were|Erm|Hmm|Uhm|Uh|Um|Er|According|Ask|Build|Commit|Ticket|Ping|Copy|Overnight|Treat|If|In|On|At|To|Is|Mmm|Okay|Right|During|Twice|Rank|Neither|Describe|Explain|Given|Pause|State|Suppose|Speaker"
 )
 _FIRST_OF_COMPOUND = "".join(sorted({c[0] for c in pii_samples.COMPOUND_SURNAMES} - set(pii_samples.SURNAMES)))
-_BEGINNERS = frozenset(_STARTERS.lower().split("|"))
+# Fixed value: those of them, and of the months, that are given names as well; the field decides on these.
+_NAMES_TOO = frozenset("mark will may".split())
+_BEGINNERS = frozenset(_STARTERS.lower().split("|")) - _NAMES_TOO
 _LETTER = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_0123456789")
 # What tells, each with strings of which a lower-cased text must hold one (None: always tried), beginning with a set so that a search is quick.
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]{2,}")
@@ -113,6 +115,18 @@ _TELLS = [
 ]
 
 
+# Fixed value: words before which a beginning "Mark", "Will" or "May" is a verb.
+_VERB_BEFORE = re.compile(r"\s+(?:the|an?|this|that|these|those|it|its|them|each|every|all|any|my|our|your|his|her|their|you|we|i|he|she|they|there|as|be)\b", re.I)
+
+
+def _verb(plain: str, start: int, end: int) -> bool:
+    """Whether a word that is a given name as well begins a sentence as a verb, or is a month after its preposition."""
+    word, before = plain[start:end].lower(), plain[max(0, start - 9) : start]
+    if word == "may" and re.search(r"\b(?:in|of|by|until|since|last|next|before|after)\s+$", before, re.I):
+        return True
+    return word in _NAMES_TOO and not re.search(r"[\w,'’]\s*$", before) and bool(_VERB_BEFORE.match(plain, end))
+
+
 def telling(plain: str) -> list[tuple[int, int]]:
     """The places of a plain text that tell of a value, in order."""
     low = plain.lower()
@@ -123,7 +137,7 @@ def telling(plain: str) -> list[tuple[int, int]]:
     for m in _CAPITAL.finditer(plain):
         a, b = m.span()
         word = m.group().lower()
-        if word not in _BEGINNERS and word not in _CALENDAR and (a == 0 or plain[a - 1] not in _LETTER) and (b == len(plain) or plain[b] not in _LETTER):
+        if word not in _BEGINNERS and (word not in _CALENDAR or word in _NAMES_TOO) and not _verb(plain, a, b) and (a == 0 or plain[a - 1] not in _LETTER) and (b == len(plain) or plain[b] not in _LETTER):
             out.append((a, b))
     out.sort()
     return out
@@ -131,7 +145,7 @@ def telling(plain: str) -> list[tuple[int, int]]:
 
 # The same for Java, wider, as several searches that each fail fast: a row that none of them finds holds nothing telling.
 _JAVA_TELLS = [
-    r"(?=[A-ZÀ-ÖØ-Þ])(?<![A-Za-z_0-9])(?!(?:" + _STARTERS + r"|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|June|July|August|September|October|November|December)\b)[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]{2,}",
+    r"(?=[A-ZÀ-ÖØ-Þ])(?<![A-Za-z_0-9])(?!(?:" + "|".join(w for w in _STARTERS.split("|") if w.lower() not in _NAMES_TOO) + r"|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|June|July|August|September|October|November|December)\b)[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]{2,}",
     r"[0-9][ \-().]{0,2}[0-9][ \-().]{0,2}[0-9][ \-().]{0,2}[0-9][ \-().]{0,2}[0-9][ \-().]{0,2}[0-9][ \-().]{0,2}[0-9]",
     rf"{_HAN_DIGIT}[ 、，,\-]?{_HAN_DIGIT}[ 、，,\-]?{_HAN_DIGIT}[ 、，,\-]?{_HAN_DIGIT}[ 、，,\-]?{_HAN_DIGIT}[ 、，,\-]?{_HAN_DIGIT}[ 、，,\-]?{_HAN_DIGIT}",
     rf"(?i)[0-9][a-z]?,? (?:[a-z'’\-]+ ){{1,3}}{_STREET}\b",
@@ -470,7 +484,7 @@ def find(text: str | None, field: Field) -> list[tuple[int, int, str]]:
     found = []
     for s, e, label in out:
         value = plain[s:e]
-        if LABELS[label] == "person_name" and (value.lower() in _BEGINNERS or _stray(plain, s, e) or not re.search(r"[A-Za-zÀ-ɏ]{2}|[㐀-鿿]{2}", value)):
+        if LABELS[label] == "person_name" and (value.lower() in _BEGINNERS or _verb(plain, s, e) or _stray(plain, s, e) or not re.search(r"[A-Za-zÀ-ɏ]{2}|[㐀-鿿]{2}", value)):
             continue
         if LABELS[label] in ("phone", "id_number") and not re.search(r"\d{4}|\d.*\d.*\d|(?:[a-z]+ ){5}|[㐀-鿿]{6}", value):
             continue
