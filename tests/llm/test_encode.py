@@ -1,9 +1,10 @@
 import os
+import random
 
 import pytest
 import tiktoken
 
-from turnmill.llm.encode import PATTERN, TOKENIZERS, VOCABULARY, decode_corpus, encode_corpus, vocabulary
+from turnmill.llm.encode import PATTERN, TOKENIZERS, VOCABULARY, Vocabulary, decode_corpus, encode_corpus, vocabulary
 
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{TOKENIZERS}/{VOCABULARY}.tiktoken"), reason="no vocabulary files here")
 
@@ -35,3 +36,24 @@ def test_memory_limit_changes_nothing(monkeypatch):
     whole = [list(v.encode([t])[0]) for t in TEXTS]
     monkeypatch.setattr(encode, "MEMORY", 1)
     assert [list(v.encode([t])[0]) for t in TEXTS] == whole
+
+
+def test_one_query_contracts_pieces_of_every_length():
+    v = Vocabulary(TOKENIZERS, VOCABULARY)
+    v.contract(list(v.ranks))  # every entry contracts to itself
+    assert all(v.pieces[t] == (r,) for t, r in v.ranks.items())
+    known = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    some = random.Random(4)
+    pieces = ["".join(some.choices("abcdefghij", k=n)).encode() for n in (2, 47, 48, 49, 50, 700, 5000)] + [b"ab" * 900, b"a" * 20_001, "很".encode() * 400]
+    v.contract(pieces)
+    for p in pieces:
+        assert list(v.pieces[p]) == known.encode_ordinary(p.decode())
+    v.contract([])
+
+
+def test_decoding_of_odd_ids():
+    v = Vocabulary(TOKENIZERS, VOCABULARY)
+    assert v.decode([None, [], [int(v.byte[0xE5])]]) == [None, "", "�"]
+    assert v.decode([]) == []
+    with pytest.raises(ValueError):
+        v.decode([[len(v.ranks) + 5]])

@@ -3,9 +3,10 @@
 A text is cut into the tokenizer's pre-tokens, and those at byte pairs that no
 vocabulary entry contains: no merge can cross such a pair, so the pieces encode
 alone to the same ids.  Pieces repeat, within and across texts, and a worker
-encodes each one once: new pieces go, a batch at a time, to a DuckDB recursive
-query whose token-position rows join the merge table; every step contracts each
-piece's leftmost pair of minimum rank until none is left.
+encodes each one once: new pieces of whatever length go, a batch at a time, to
+one DuckDB recursive query whose token-position rows join the merge table; every
+step contracts each piece's leftmost pair of minimum rank until none is left.
+Decoding joins the ids to their bytes and aggregates these in order.
 
 Defined results: NULL and empty texts have no ids; special-token strings are
 ordinary text; lone surrogates cannot occur in Spark strings; texts of any
@@ -34,40 +35,30 @@ MEMORY = 400_000
 #: Fixed value: the pre-token pattern of the public byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
-_STEP = """
-WITH RECURSIVE step(piece, n, tokens) AS (
-  SELECT piece, 0, tokens FROM new_pieces
+# A piece's rows are keyed by their position, so the recursion keeps one row a position however many steps it takes.
+# Every step contracts the pair of minimum rank: all its occurrences, leftmost first where they overlap.
+_CONTRACT = """
+WITH RECURSIVE step(piece, pos, token) USING KEY (piece, pos) AS (
+  SELECT piece, pos, token FROM new_rows
   UNION ALL
-  SELECT piece, n + 1, list_concat(list_concat(tokens[1:pos - 1], [merged]), tokens[pos + 2:])
+  SELECT piece, pos, CASE WHEN kept THEN merged WHEN lag(kept) OVER (PARTITION BY piece ORDER BY pos) THEN NULL ELSE token END
   FROM (
-    SELECT piece, n, any_value(tokens) AS tokens, arg_min(pos, (merged, pos)) AS pos, min(merged) AS merged
-    FROM (SELECT piece, n, tokens, unnest(range(1, len(tokens))) AS pos FROM step WHERE len(tokens) > 1) p
-    JOIN merges m ON m.a = p.tokens[pos] AND m.b = p.tokens[pos + 1]
-    GROUP BY piece, n))
-SELECT piece, arg_max(tokens, n) AS tokens FROM step GROUP BY piece
+    SELECT piece, pos, token, merged, hit AND row_number() OVER (PARTITION BY piece, hit, run ORDER BY pos) % 2 = 1 AS kept
+    FROM (
+      SELECT piece, pos, token, merged, hit, k - sum(hit::INT) OVER (PARTITION BY piece ORDER BY pos) AS run
+      FROM (
+        SELECT piece, pos, token, merged, k, min(merged) OVER (PARTITION BY piece) AS best, coalesce(merged = best, false) AS hit
+        FROM (
+          SELECT piece, pos, token, lead(token) OVER w AS next, row_number() OVER w AS k
+          FROM step WHERE token IS NOT NULL WINDOW w AS (PARTITION BY piece ORDER BY pos)) p
+        LEFT JOIN merges m ON m.a = p.token AND m.b = p.next)
+      WHERE best IS NOT NULL)))
+SELECT piece, list(token ORDER BY pos) FILTER (token IS NOT NULL) AS tokens FROM step GROUP BY piece
 """
-# The same contraction for long pieces, a statement a step, so that no step's rows pile up:
-# every occurrence of the minimum pair goes at once, leftmost first where they overlap.
-_LONG_STEP = """
-CREATE OR REPLACE TEMP TABLE next_rows AS
-WITH pairs AS (
-  SELECT piece, pos, token, lead(token) OVER w AS b, lead(pos) OVER w AS pos_b, row_number() OVER w AS k
-  FROM long_rows WINDOW w AS (PARTITION BY piece ORDER BY pos)),
-ranked AS (
-  SELECT p.piece, p.pos, p.pos_b, p.k, m.merged, min(m.merged) OVER (PARTITION BY p.piece) AS best
-  FROM pairs p JOIN merges m ON m.a = p.token AND m.b = p.b),
-hits AS (
-  SELECT *, k - row_number() OVER (PARTITION BY piece ORDER BY k) AS run FROM ranked WHERE merged = best),
-kept AS (
-  SELECT piece, pos, pos_b, merged FROM (
-    SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY k) AS nth FROM hits) WHERE nth % 2 = 1)
-SELECT r.piece, r.pos, coalesce(a.merged, r.token) AS token, a.merged IS NOT NULL AS hit
-FROM long_rows r
-LEFT JOIN kept a ON a.piece = r.piece AND a.pos = r.pos
-LEFT JOIN kept b ON b.piece = r.piece AND b.pos_b = r.pos
-WHERE b.piece IS NULL
+# Hexadecimal, since only strings can be joined in order.
+_DECODE = """
+SELECT i.doc, from_hex(string_agg(b.bytes, '' ORDER BY i.pos)) AS bytes FROM id_rows i JOIN token_bytes b ON b.token = i.token GROUP BY i.doc
 """
-LONG = 48
 
 
 class _Numbered(dict):
@@ -88,13 +79,14 @@ class Vocabulary:
     def __init__(self, folder: str, name: str):
         with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines)}
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         inside = {t[i : i + 2] for t in self.ranks for i in range(len(t) - 1)}
         self.crossable = [[bytes([a, b]) in inside for b in range(256)] for a in range(256)]
         self.pattern = regex.compile(PATTERN)
         self.forget()
         self.pieces: dict[bytes, tuple[int, ...]] = {}
         self._db = None
+        self._decodes = False
 
     def merges(self) -> list[tuple[int, int, int]]:
         """Every pair of tokens that makes a token: ``(a, b, merged)``; the merged id is the rank."""
@@ -127,44 +119,41 @@ class Vocabulary:
         return self._db
 
     def contract(self, pieces: list[bytes]) -> None:
-        """Encode new pieces by the recursive query and remember their ids."""
-        byte = self.byte
-        long = []
-        for p in pieces:
-            if len(p) == 1:
-                self.pieces[p] = (byte[p[0]],)
-            elif p in self.ranks:  # a whole token contracts to itself
-                self.pieces[p] = (self.ranks[p],)
-            else:
-                long.append(p)
-        if short := [p for p in long if len(p) <= LONG]:
-            self._recurse(short)
-        if long := [p for p in long if len(p) > LONG]:
-            self._step(long)
-
-    def _step(self, long: list[bytes]) -> None:
+        """Encode new pieces, of any length, by the recursive query and remember their ids."""
+        if not pieces:
+            return
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        pos = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        token = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
         db = self.db()
-        rows = [(k, i, self.byte[b]) for k, p in enumerate(long) for i, b in enumerate(p)]
-        columns = [pa.array(c, pa.int32()) for c in zip(*rows)]
-        db.register("new_rows", pa.table(columns, names=["piece", "pos", "token"]))
-        db.execute("CREATE OR REPLACE TEMP TABLE long_rows AS SELECT *, false AS hit FROM new_rows")
+        db.register("new_rows", pa.table({"piece": piece, "pos": pos.astype(np.int32), "token": token}))
+        got = db.sql(_CONTRACT).to_arrow_table()
         db.unregister("new_rows")
-        while True:
-            db.execute(_LONG_STEP)
-            db.execute("CREATE OR REPLACE TEMP TABLE long_rows AS SELECT * FROM next_rows")
-            if not db.execute("SELECT bool_or(hit) FROM long_rows").fetchone()[0]:
-                break
-        for k, ids in db.execute("SELECT piece, list(token ORDER BY pos) FROM long_rows GROUP BY piece").fetchall():
-            self.pieces[long[k]] = tuple(ids)
-
-    def _recurse(self, long: list[bytes]) -> None:
-        tokens = pa.array([[self.byte[b] for b in p] for p in long], pa.list_(pa.int32()))
-        db = self.db()
-        db.register("new_pieces", pa.table({"piece": pa.array(range(len(long)), pa.int32()), "tokens": tokens}))
-        got = db.sql(_STEP).to_arrow_table()
-        db.unregister("new_pieces")
         for k, ids in zip(got["piece"].to_pylist(), got["tokens"].to_pylist()):
-            self.pieces[long[k]] = tuple(ids)
+            self.pieces[pieces[k]] = tuple(ids)
+
+    def decode(self, ids: list[list[int] | None]) -> list[str | None]:
+        """The texts of lists of ids: their bytes joined in order, read as UTF-8."""
+        db = self.db()
+        if not self._decodes:
+            db.register("ranked", pa.table({"token": list(self.ranks.values()), "bytes": [t.hex() for t in self.ranks]}))
+            db.execute("CREATE TABLE token_bytes AS SELECT token::INT AS token, bytes FROM ranked")
+            db.unregister("ranked")
+            self._decodes = True
+        sizes = np.array([len(x) if x else 0 for x in ids], np.int64)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        token = np.fromiter(chain.from_iterable(x for x in ids if x), np.int32, len(doc))
+        if unknown := set(token.tolist()) - set(self.ranks.values()):
+            raise ValueError(f"ids outside the vocabulary: {sorted(unknown)[:5]}")
+        db.register("id_rows", pa.table({"doc": doc, "pos": pos.astype(np.int32), "token": token}))
+        got = db.sql(_DECODE).to_arrow_table()
+        db.unregister("id_rows")
+        out: list[str | None] = [None if x is None else "" for x in ids]
+        for k, raw in zip(got["doc"].to_pylist(), got["bytes"].to_pylist()):
+            out[k] = raw.decode("utf-8", "replace")
+        return out
 
     def forget(self) -> None:
         self.words = _Numbered()
@@ -240,10 +229,12 @@ def decode_corpus(df: DataFrame, key: str, ids: str, folder: str = TOKENIZERS, n
     arrow_key = to_arrow_type(key_type)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = {i: t for t, i in vocabulary(folder, name).ranks.items()}
+        v = vocabulary(folder, name)
         for batch in batches:
-            texts = [None if x is None else b"".join([of[i] for i in x]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow_key), pa.array(texts, pa.string())], ["key", "text"])
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                texts = v.decode(some.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(arrow_key), pa.array(texts, pa.string())], ["key", "text"])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{ids}`").alias("ids"))
     return rows.mapInArrow(work, f"key {key_type.simpleString()}, text string").withColumnRenamed("key", key)

@@ -55,6 +55,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the ids of ``p7_ids`` stand for."""
+    return encode.decode_corpus(p7_ids(spark, sf_dir), "doc_id", "ids")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_passages"))
 
@@ -67,8 +72,9 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p4_found, p4_redacted, p5_found, p5_turns, p7_ids, p8_found, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p4_found, p4_redacted, p5_found, p5_turns, p7_ids, p7_decoded, p8_found, p9_found, p9_statistics)}
 
 ORACLE = {
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": "SELECT DISTINCT segment_id FROM segments WHERE length(text) > 800",
 }
