@@ -51,6 +51,11 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.clean_turn_parts(read_table(spark, sf_dir, "segments"))
 
 
+def p5_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the hidden Markov model infers where a fifth of the labels is withheld, beside what the labels state."""
+    return turns.withheld_labels(read_table(spark, sf_dir, "segments"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -72,7 +77,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p4_found, p4_redacted, p5_found, p5_turns, p7_ids, p7_decoded, p8_found, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p4_found, p4_redacted, p5_found, p5_turns, p5_withheld, p7_ids, p7_decoded, p8_found, p9_found, p9_statistics)}
 
 ORACLE = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

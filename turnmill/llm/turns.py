@@ -8,8 +8,12 @@ changes of speaker.  Timestamps, labels, hesitation sounds and sound annotations
 are taken out of the text.
 
 A session may be as hot as it likes: it is cut into blocks of ``2**BLOCK_BITS``
-milliseconds.  Runs inside a block are final; only the first and the last run
-of each block are joined across the blocks of a session.
+milliseconds (segments without a start: of ``2**NULL_BITS`` numbers).  Runs
+inside a block are final; only the first and the last run of each block are
+joined across the blocks of a session.  The model decodes the session as a whole:
+each block gives its best scores from every state before it to every state at its
+end, these small matrices are linked along the session, and each block is then
+decoded between the states so found.
 
 Defined results: a redelivered segment counts once; ties in start and ``seg_idx``
 are ordered by ``segment_id``; segments with a NULL, blank or wholly removed text
@@ -29,7 +33,10 @@ from turnmill.operators.intervals import to_millis
 from turnmill.runtime import cut
 
 BLOCK_BITS = 22
+NULL_BITS = 12
 BUCKETS = 256
+SESSION = ["recording_id", "session_no"]
+ORDER = ["start_ms", "seg_idx", "segment_id"]
 
 # The words for numbers that labels use.
 NUMBER_WORDS = {
@@ -101,7 +108,7 @@ def labelled(segments: DataFrame, with_text: bool = False) -> DataFrame:
         "segment_id",
         "seg_idx",
         start.alias("start_ms"),
-        F.coalesce(F.shiftright(start, BLOCK_BITS), F.lit(-(2**62))).alias("block"),
+        F.coalesce(F.shiftright(start, BLOCK_BITS), F.lit(-(2**62)) + F.shiftright(F.coalesce("seg_idx", F.lit(-(2**31))), NULL_BITS)).alias("block"),
         label_number(told).alias("speaker_no"),
         is_speech(F.col("bare_")).alias("speaks"),
     ]
@@ -111,14 +118,6 @@ def labelled(segments: DataFrame, with_text: bool = False) -> DataFrame:
     return t.select(*cols).repartition(*keys).dropDuplicates([*keys, "segment_id"])
 
 
-def _profiles(words: pd.Series) -> np.ndarray:
-    counts = np.zeros((len(words), BUCKETS))
-    for i, row in enumerate(words):
-        if row is not None and len(row):
-            np.add.at(counts[i], np.asarray(row, int), 1)
-    return counts
-
-
 def viterbi(emission: np.ndarray, transition: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     """The likeliest states (log scores; ``fixed[i] >= 0`` forces a state; ties take the lower state)."""
     n, k = emission.shape
@@ -136,55 +135,122 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, fixed: np.ndarray) ->
     return path
 
 
-def infer_block(block: pd.DataFrame) -> pd.DataFrame:
-    """Speaker numbers of one block; ``words`` holds hash buckets, the other arrays the session's counts, end to end."""
-    block = block.sort_values(["start_ms", "seg_idx", "segment_id"], na_position="first").reset_index(drop=True)
-    speakers = sorted({int(s) for s in block["people"].iloc[0]}) if block["people"].iloc[0] is not None else []
-    out = block[["recording_id", "session_no", "block", "segment_id", "speaker_no"]].copy()
-    if not speakers:
+class Model:
+    """The hidden Markov model of a session from its counts ``(kind, a, b, n)``: speakers ("s"), their words ("w") and their changes ("c")."""
+
+    def __init__(self, counts: list):
+        rows = [(c["kind"], c["a"], c["b"], c["n"]) for c in counts] if counts is not None else []
+        self.speakers = sorted({a for kind, a, _, _ in rows if kind == "s"})
+        self.at = {s: i for i, s in enumerate(self.speakers)}
+        profile = np.full((len(self.speakers), BUCKETS), 0.1)
+        change = np.full((len(self.speakers), len(self.speakers)), 0.5)
+        for kind, a, b, n in rows:
+            if kind == "w":
+                profile[self.at[a], b] += n
+            elif kind == "c":
+                change[self.at[a], self.at[b]] += n
+        self.profile = np.log(profile / profile.sum(1, keepdims=True))
+        self.change = np.log(change / change.sum(1, keepdims=True))
+
+    def scores(self, block: pd.DataFrame) -> np.ndarray:
+        """Log scores of the states of each segment; a stated speaker leaves no other state."""
+        words = np.zeros((len(block), BUCKETS))
+        for i, row in enumerate(block["words"]):
+            if row is not None and len(row):
+                np.add.at(words[i], np.asarray(row, int), 1)
+        fixed = np.array([self.at.get(int(s), -1) if pd.notna(s) else -1 for s in block["speaker_no"]])
+        return np.where((fixed[:, None] < 0) | (fixed[:, None] == np.arange(len(self.speakers))), words @ self.profile.T, -np.inf)
+
+
+def _in_order(block: pd.DataFrame) -> pd.DataFrame:
+    return block.sort_values(ORDER, na_position="first").reset_index(drop=True)
+
+
+def transfer(block: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """The best scores of a block, from each state before it (the last row: from none) to each state at its end."""
+    out = block[[*SESSION, "block"]].head(1).copy()
+    m = Model(model["m"].iloc[0] if len(model) else None)
+    k = len(m.speakers)
+    best = np.zeros((0, 0))
+    if k:
+        scores = m.scores(_in_order(block))
+        best = np.vstack([m.change, np.zeros((1, k))]) + scores[0]
+        for row in scores[1:]:
+            best = (best[:, :, None] + m.change).max(1) + row
+    out["size"] = k
+    out["best"] = [best.ravel().tolist()] * len(out)
+    return out
+
+
+def link(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The states at the end of each block of a session on its likeliest path, and those before it (-1: none)."""
+    blocks = blocks.sort_values("block").reset_index(drop=True)
+    out = blocks[[*SESSION, "block"]].copy()
+    k = int(blocks["size"].iloc[0])
+    before = np.full(len(blocks), -1)
+    after = np.full(len(blocks), -1)
+    if k:
+        tables = [np.asarray(b, float).reshape(k + 1, k) for b in blocks["best"]]
+        score, back = tables[0][k], []
+        for table in tables[1:]:
+            through = score[:, None] + table[:k]
+            back.append(through.argmax(0))
+            score = through.max(0)
+        after[-1] = int(score.argmax())
+        for i in range(len(blocks) - 1, 0, -1):
+            before[i] = after[i - 1] = back[i - 1][after[i]]
+    out["before"], out["after"] = before, after
+    return out
+
+
+def decode(block: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """The speaker numbers of a block's segments between the states that its session's path has around it."""
+    block = _in_order(block)
+    out = block[["segment_id"]].copy()
+    m = Model(model["m"].iloc[0] if len(model) else None)
+    if not m.speakers:
+        out["guess"] = pd.Series([None] * len(block), dtype="Int32")
         return out
-    at = {s: i for i, s in enumerate(speakers)}
-    fixed = np.array([at.get(int(s), -1) if pd.notna(s) else -1 for s in block["speaker_no"]])
-    words = _profiles(block["words"])
-    profile = np.ones((len(speakers), BUCKETS)) * 0.1
-    who = [at[int(s)] for s in block["people"].iloc[0]]
-    np.add.at(profile, (who, block["buckets"].iloc[0]), block["counts"].iloc[0])
-    emission = words @ np.log(profile / profile.sum(1, keepdims=True)).T
-    change = np.full((len(speakers), len(speakers)), 0.5)
-    told = fixed[fixed >= 0]
-    np.add.at(change, (told[:-1], told[1:]), 1)
-    path = viterbi(emission, np.log(change / change.sum(1, keepdims=True)), fixed)
-    out["speaker_no"] = [speakers[p] for p in path]
+    scores = m.scores(block)
+    before, after = int(model["before"].iloc[0]), int(model["after"].iloc[0])
+    if before >= 0:
+        scores[0] = scores[0] + m.change[before]
+    fixed = np.full(len(block), -1)
+    fixed[-1] = after
+    out["guess"] = pd.array([m.speakers[p] for p in viterbi(scores, m.change, fixed)], dtype="Int32")
     return out
 
 
 def _inferred(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """``segment_id`` and inferred ``speaker_no`` of the segments without a label."""
-    session = ["recording_id", "session_no"]
-    lost = rows.where(F.col("speaker_no").isNull() & F.col("speaks")).select(*session, "block").distinct()
-    near = rows.join(lost.hint("shuffle_hash"), [*session, "block"], "left_semi")
+    """``segment_id`` and ``guess``, the inferred speaker, of the segments of every session in which a label is missing."""
+    lost = rows.where(F.col("speaker_no").isNull() & F.col("speaks")).select(*SESSION).distinct()
+    mine = rows.alias("r").join(lost.alias("l"), F.expr("r.recording_id <=> l.recording_id AND r.session_no <=> l.session_no"), "left_semi").select("r.*")
     words = F.expr(
-        "transform(regexp_extract_all(lower(text), '(?u)[\\\\p{L}&&[^\\\\p{IsHan}]]+|\\\\p{IsHan}', 0),"
+        "transform(regexp_extract_all(lower(bare_), '(?u)[\\\\p{L}&&[^\\\\p{IsHan}]]+|\\\\p{IsHan}', 0),"
         f" w -> cast(pmod(hash(w), {BUCKETS}) as int))"
     )
-    spoken = segments.select("segment_id", words.alias("words")).dropDuplicates(["segment_id"])
-    whole = rows.join(lost.select(*session).distinct(), session, "left_semi").where("speaker_no is not null")
-    profile = (
-        whole.join(spoken, "segment_id")
-        .select(*session, "speaker_no", F.explode("words").alias("w"))
-        .groupBy(*session, "speaker_no", "w")
-        .count()
-        .groupBy(*session)
-        .agg(*[F.collect_list(F.struct("speaker_no", "w", "count")).alias("m")])
-        .select(*session, *[F.col(f"m.{x}").alias(n) for x, n in (("speaker_no", "people"), ("w", "buckets"), ("count", "counts"))])
-    )
-    return (
-        near.join(spoken, "segment_id")
-        .join(profile, session, "left")
-        .groupBy(*session, "block")
-        .applyInPandas(infer_block, "recording_id string, session_no int, block bigint, segment_id bigint, speaker_no int")
-        .select("segment_id", F.col("speaker_no").alias("guess"))
+    spoken = segments.select("segment_id", bare(canonical_form(F.coalesce(F.col("text"), F.lit("")))).alias("bare_")).select("segment_id", words.alias("words")).dropDuplicates(["segment_id"])
+    data = mine.select(*SESSION, "block", *ORDER, "speaker_no").join(spoken, "segment_id").select(*SESSION, "block", *ORDER, "speaker_no", "words")
+    one, told = F.lit(1).cast("bigint"), data.where("speaker_no is not null")
+    earlier = F.lag("speaker_no").over(Window.partitionBy(*SESSION, "block").orderBy(*ORDER))
+    counts = (
+        told.select(*SESSION, F.lit("s").alias("kind"), F.col("speaker_no").alias("a"), F.lit(0).alias("b"))
+        .unionByName(told.select(*SESSION, F.lit("w").alias("kind"), F.col("speaker_no").alias("a"), F.explode("words").alias("b")))
+        .unionByName(told.select(*SESSION, F.lit("c").alias("kind"), earlier.alias("a"), F.col("speaker_no").alias("b")).where("a is not null"))
+        .groupBy(*SESSION, "kind", "a", "b")
+        .agg(F.sum(one).alias("n"))
+        .groupBy(*SESSION)
+        .agg(F.collect_list(F.struct("kind", "a", "b", "n")).alias("m"))  # at most participants x (256 words + participants)
     )
+    # other names, so that the two sides of a cogroup are told apart
+    block, other = [*SESSION, "block"], ["r_", "s_", "b_"]
+    of_session = F.expr("r_ <=> recording_id AND s_ <=> session_no")
+    models = data.select(*[F.col(c).alias(o) for c, o in zip(block, other)]).distinct().join(counts, of_session, "left").select(*other, "m")
+    keys = "recording_id string, session_no int, block bigint"
+    tables = data.groupBy(*block).cogroup(models.groupBy(*other)).applyInPandas(transfer, f"{keys}, size int, best array<double>")
+    states = tables.groupBy(*SESSION).applyInPandas(link, f"{keys}, before int, after int")
+    linked = models.join(states, of_session & F.expr("b_ = block")).select(*other, "m", "before", "after")
+    return data.groupBy(*block).cogroup(linked.groupBy(*other)).applyInPandas(decode, "segment_id bigint, guess int")
 
 
 def with_speakers(segments: DataFrame, with_text: bool = False) -> DataFrame:
@@ -198,6 +264,20 @@ def with_speakers(segments: DataFrame, with_text: bool = False) -> DataFrame:
     return told.unionByName(guessed)
 
 
+def withheld_labels(segments: DataFrame, every: int = 5) -> DataFrame:
+    """``(segment_id, stated, inferred)`` of a share of the segments, whose labels are withheld and then inferred: how good the model is.
+
+    All segments are read; every ``every``-th label, by hash of ``segment_id``, is taken out of ``speaker`` and ``text``.
+    """
+    stated = labelled(segments).where("speaker_no is not null and speaks").select("segment_id", F.col("speaker_no").alias("stated"))
+    hidden = F.pmod(F.xxhash64("segment_id"), F.lit(every)) == 0
+    text = canonical_form(F.coalesce(F.col("text"), F.lit("")))
+    rest = segments.withColumn("text", F.when(hidden, F.regexp_replace(text, HEAD_LABEL, "")).otherwise(F.col("text")))
+    rest = rest.withColumn("speaker", F.when(~hidden, F.col("speaker")))
+    found = with_speakers(rest).select("segment_id", F.col("speaker_no").alias("inferred"))
+    return stated.where(hidden).dropDuplicates(["segment_id"]).join(found, "segment_id", "left").select("segment_id", "stated", "inferred")
+
+
 def turn_parts(rows: DataFrame) -> DataFrame:
     """Runs of one speaker within a block, numbered in ``run_``; ``runs_`` is how many the block has."""
     session, block = ["recording_id", "session_no"], ["recording_id", "session_no", "block"]
