@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from turnmill.llm import pii_samples
-from turnmill.llm.pii import KINDS, LABELS, Field, find, found_kinds, plain_with_offsets, redact, redacted, trained
+from turnmill.llm.field import Batch, Field
+from turnmill.llm.pii import KINDS, LABELS, find, find_all, found_kinds, lexicon, plain_with_offsets, redact, redacted, trained
 from turnmill.llm.queries import p4_redacted
 
 
@@ -13,16 +14,17 @@ def field():
     return trained()
 
 
-def test_held_out_texts(field):
+def test_templates_that_training_never_saw(field):
     right = {k: [0, 0, 0] for k in KINDS}
-    for text, spans in pii_samples.sentences(800, 4321):
-        want, got = {k for *_, k in spans}, {k for *_, k in find(text, field)}
+    texts = pii_samples.sentences(1500, 4321, held_out=True)
+    for (_, spans), got in zip(texts, find_all([t for t, _ in texts], field)):
+        want, got = {k for *_, k in spans}, {k for *_, k in got}
         for k in KINDS:
             right[k][0] += k in want and k in got
             right[k][1] += k in want and k not in got
             right[k][2] += k not in want and k in got
     for k, (hit, missed, wrong) in right.items():
-        assert hit / (hit + missed) > 0.88 and hit / (hit + wrong) > 0.95, (k, right[k])
+        assert hit / (hit + missed) >= 0.9 and hit / (hit + wrong) > 0.95, (k, right[k])
 
 
 def test_placeholders_leave_the_rest_alone(field):
@@ -52,16 +54,55 @@ def test_offsets_lead_back():
 
 def test_message_passing_is_exact_on_small_fields():
     rng = np.random.default_rng(3)
-    k = len(LABELS)
-    f = Field({}, rng.normal(size=(k, k)), 2.0)
-    e = rng.normal(size=(5, k))
-    best = max(product(range(k), repeat=5), key=lambda p: sum(e[i, x] for i, x in enumerate(p)) + sum(f.transition[a, b] for a, b in zip(p, p[1:])))
-    assert tuple(f.viterbi(e)) == best and tuple(f.loopy(e, [])) == best
-    # a skip edge makes a doubtful repetition agree with a sure one
-    f = Field({}, np.zeros((k, k)), 3.0)
-    e = np.zeros((4, k))
+    k, none = len(LABELS), (np.zeros(0, int),) * 3
+    for _ in range(20):
+        f = Field(np.zeros(0, np.uint64), np.zeros((0, k)), rng.normal(size=(k, k)), np.zeros((3, k)))
+        e = rng.normal(size=(10, k)).astype(np.float32)
+        e[:, 0] += 0.7
+        row = np.array([0, 0, 0, 0, 0, 1, 2, 2, 2, 2])
+        want = []
+        for lo, hi in ((0, 5), (5, 6), (6, 10)):
+            want += max(product(range(k), repeat=hi - lo), key=lambda p: sum(e[lo + i, x] for i, x in enumerate(p)) + sum(f.transition[a, b] for a, b in zip(p, p[1:])))
+        # passing tokens over that are surely none changes nothing
+        assert f.decode(row, e, none).tolist() == f.decode(row, e, none, every=True).tolist() == want
+    # a skip edge makes a doubtful repetition agree with a sure one, by the weight of its kind and label
+    skip = np.zeros((3, k))
+    skip[0, 5] = 3.0
+    f = Field(np.zeros(0, np.uint64), np.zeros((0, k)), np.zeros((k, k)), skip)
+    e = np.zeros((4, k), np.float32)
     e[0, 5], e[3, 0], e[3, 5], e[1, 0], e[2, 0] = 6.0, 1.0, 0.5, 4.0, 4.0
-    assert f.loopy(e, [])[3] == 0 and f.loopy(e, [(0, 3)])[3] == 5
+    row, at = np.zeros(4, int), lambda kind: (np.array([0]), np.array([3]), np.array([kind]))
+    assert f.decode(row, e, none)[3] == 0 and f.decode(row, e, at(0))[3] == 5 and f.decode(row, e, at(1))[3] == 0
+
+
+def test_loopy_fields_against_enumeration():
+    rng = np.random.default_rng(5)
+    same = 0
+    for _ in range(40):
+        skip = np.zeros((3, 3))
+        skip[0, 1:] = rng.uniform(0, 2, 2)
+        f = Field(np.zeros(0, np.uint64), np.zeros((0, 3)), rng.normal(size=(3, 3)) * 0.5, skip)
+        e = rng.normal(size=(6, 3)).astype(np.float32) * 2
+        edges = (np.array([0, 1]), np.array([3, 5]), np.array([0, 0]))
+        score = lambda p: sum(e[i, x] for i, x in enumerate(p)) + sum(f.transition[a, b] for a, b in zip(p, p[1:])) + sum(skip[0, p[a]] for a, b in zip(*edges[:2]) if p[a] == p[b])
+        best = max(product(range(3), repeat=6), key=score)
+        got = f.decode(np.zeros(6, int), e, edges)
+        same += tuple(got) == best
+        assert got.tolist() == f.decode(np.zeros(6, int), e, edges, every=True).tolist() or score(got) >= score(f.decode(np.zeros(6, int), e, edges, every=True))
+    assert same >= 36  # loopy inference is nearly always right, not always
+
+
+def test_skip_weights_are_learned_and_tie_mentions(field):
+    assert field.skip[0, LABELS.index("person_name")] > 0 and (field.skip[:, 0] == 0).all()
+    batch = Batch(["Ask Quillon Marwick now. Then Marwick's note, marwick, 190000055512 and 190000055512; 欧阳青 and 欧阳青", "The Marwick"], lexicon())
+    words = [batch.texts[batch.row[i]][batch.start[i] - batch.text_start[batch.row[i]] : batch.end[i] - batch.text_start[batch.row[i]]] for i in range(len(batch))]
+    ties = {(words[a], words[b], kind) for a, b, kind in zip(*batch.edges())}
+    assert ties == {("Marwick", "Marwick's", 1), ("190000055512", "190000055512", 0), ("欧", "欧", 2)}
+
+
+def test_batches_give_what_single_texts_give(field):
+    texts = [t for t, _ in pii_samples.sentences(120, 77)] + [None, "", "x" * 5000, "call me on (202) 555-0143", "call me on (202) 555-0143"]
+    assert find_all(texts, field) == [find(t, field) for t in texts]
 
 
 def test_tables(spark, field):

@@ -5,7 +5,7 @@ Tokens are words, numbers, single ideographs and signs.  A token's features are
 family names near it and the formats that cover it; a trained feature is found by
 its whole key, so that unseen ones weigh nothing.  The chain has a transition
 weight for each pair of labels.  Skip edges tie tokens of a text that repeat
-(``SAME``) or resemble (``ALIKE``) each other; for each kind of edge and each label
+(``SAME``, or ``PAIR`` for ideographs) or resemble (``ALIKE``) each other; for each kind of edge and each label
 of a value there is a weight for both ends having it, learned with the rest.
 
 Inference is max-product: exact along the chain, loopy over the skip edges, with
@@ -26,7 +26,7 @@ import numpy as np
 ROUNDS = 60
 #: Rounds without damping, and the damping after them.
 UNDAMPED, DAMPING = 8, 0.5
-SAME, ALIKE = 0, 1
+SAME, ALIKE, PAIR = 0, 1, 2
 #: By how much the right label of a token must lead in training.
 MARGIN = 12.0
 SPACE, LETTER, DIGIT, HAN, SIGN = range(5)
@@ -79,19 +79,37 @@ _KIND, _LOW, _UPPER = _tables()
 
 
 class Lexicon:
-    """What the features know beforehand: words by class, characters of family names, formats with what a text must have for each."""
-
-    def __init__(self, classes: dict[str, list[str]], surnames: str, compounds: list[str], formats: dict[str, tuple[re.Pattern, Callable]], untied: tuple[str, ...] = ()):
-        self.classes = {k: np.sort(np.array([word_hash(w) for w in ws], _U)) for k, ws in classes.items()}
+    """What the features know beforehand: words by class, characters of family names, formats with what a text must have for each.
+
+    A format's need is a function of ``has`` (how many tokens of each text are of a class) and of the digits of each text.
+    ``quiet`` classes only serve such needs, words of ``untied`` classes have no skip edges.
+    """
+
+    def __init__(self, classes: dict[str, list[str]], surnames: str, compounds: list[str], formats: dict[str, tuple[re.Pattern, Callable]], quiet: dict[str, list[str]], untied: tuple[str, ...] = ()):
+        self.bit = {name: np.uint32(1 << i) for i, name in enumerate([*classes, *quiet])}
+        self.classes, self.untied, self.formats = list(classes), untied, formats
+        of: dict[int, int] = {}
+        for name, words in [*classes.items(), *quiet.items()]:
+            for w in words:
+                of[word_hash(w)] = of.get(word_hash(w), 0) | int(self.bit[name])
+        self._words, self._bits = np.zeros(1 << 20, _U), np.zeros(1 << 20, np.uint32)
+        for h, bits in of.items():
+            if self._words[h >> 44]:
+                raise ValueError("two words of the classes fall into one slot")
+            self._words[h >> 44], self._bits[h >> 44] = h, bits
         self.surname = np.zeros(0x110000, bool)
         self.surname[[ord(c) for c in surnames]] = True
+        self.first = np.zeros(0x110000, bool)
+        self.first[[ord(c[0]) for c in compounds]] = True
         self.compound = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in compounds], np.int64))
-        self.formats, self.untied = formats, untied  # words of the untied classes have no skip edges
+
+    def bits(self, words: np.ndarray) -> np.ndarray:
+        """The classes of each word, as bits."""
+        slot = (words >> _U(44)).astype(np.int64)
+        return np.where(self._words[slot] == words, self._bits[slot], np.uint32(0))
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(known, values), len(known) - 1)
     return known[at] == values
 
@@ -121,6 +139,7 @@ class Batch:
         self.kind = kind[self.start]
         place = np.minimum(np.arange(len(codes)) - self.start[np.maximum(number, 0)] if n else np.zeros(0, int), len(_POWER) - 1)
         self.word = _mix(np.add.reduceat(np.where(inside, (low.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) * _POWER[place], _U(0)), self.start)) if n else np.zeros(0, _U)
+        self.bits = lexicon.bits(self.word)
         self.code = low[self.start].astype(np.int64)
         self.row = np.searchsorted(self.text_start, self.start, "right") - 1
         bounds = np.searchsorted(self.row, np.arange(len(texts) + 1))
@@ -162,12 +181,9 @@ class Batch:
         tokens, formats = [], []
         n_rows = len(self.texts)
         digits = np.bincount(self.row, np.where(self.kind == DIGIT, self.size, 0), n_rows)
-        traits = {"digits": digits}
 
-        def has(name: str, known: np.ndarray) -> np.ndarray:
-            if name not in traits:
-                traits[name] = np.bincount(self.row, _among(self.word, known), n_rows)
-            return traits[name]
+        def has(name: str) -> np.ndarray:
+            return np.bincount(self.row, self.bits & self.lexicon.bit[name] != 0, n_rows)
 
         for number, (pattern, needs) in enumerate(self.lexicon.formats.values()):
             for r in np.flatnonzero(needs(has, digits)):
@@ -208,8 +224,8 @@ class Batch:
         yield None, key("p2", p2, p1)
         yield None, key("n2", n1, n2)
         yield None, key("pn", p1, n1)
-        for name, known in self.lexicon.classes.items():
-            at = np.flatnonzero(_among(word, known))
+        for name in self.lexicon.classes:
+            at = np.flatnonzero(self.bits & self.lexicon.bit[name])
             yield at, key("class " + name, shape[at])
         latin = np.flatnonzero(self.kind == LETTER)
         if len(latin):
@@ -237,7 +253,9 @@ class Batch:
             yield han, key("h ahead", n1[han], n2[han], _U(1) + np.zeros(len(han), _U))
             code = self.code
             after = self.near(code, 1, 0)
-            surname = (self.kind == HAN) & (self.lexicon.surname[code] | _among(code << 21 | after, self.lexicon.compound))
+            surname = (self.kind == HAN) & (self.lexicon.surname[code])
+            begins_two = np.flatnonzero((self.kind == HAN) & self.lexicon.first[code])
+            surname[begins_two[_among(code[begins_two] << 21 | after[begins_two], self.lexicon.compound)]] = True
             n3, n4, n5 = (self.near(word, k, out) for k in (3, 4, 5))
             ahead = [word, n1, n2, n3, n4, n5]
             for back in range(4):
@@ -263,7 +281,7 @@ class Batch:
             yield tokens, key("f s", formats.astype(_U), shape[tokens])
 
     def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Skip edges ``(token, later token, SAME or ALIKE)``: each of some tokens with the next that repeats or resembles it.
+        """Skip edges ``(token, later token, SAME, ALIKE or PAIR)``: each of some tokens with the next that repeats or resembles it.
 
         Words with a capital and long numbers repeat if they are equal but for case, and resemble each other if their
         first five letters or last five digits are equal; so do two ideographs of which the first is a family name.
@@ -271,7 +289,7 @@ class Batch:
         a, b, kinds = [], [], []
         plain = np.zeros(len(self), bool)
         for name in self.lexicon.untied:
-            plain |= _among(self.word, self.lexicon.classes[name])
+            plain |= self.bits & self.lexicon.bit[name] != 0
         capital = np.flatnonzero(self.capital & (self.size > 2) & ~plain)
         number = np.flatnonzero((self.kind == DIGIT) & (self.size >= 5))
         after = self.near(self.code, 1, 0)
@@ -291,7 +309,7 @@ class Batch:
                     taken.add((i, j))
                     a.append(i)
                     b.append(j)
-                    kinds.append(kind)
+                    kinds.append(PAIR if self.kind[i] == HAN else kind)
         return np.array(a, np.int64), np.array(b, np.int64), np.array(kinds, np.int64)
 
     def _piece(self, tokens: np.ndarray, k: int, last: bool) -> np.ndarray:
@@ -372,36 +390,32 @@ class Field:
         A value's label cannot stand where "none" in its place would be better whatever the labels beside it that are
         possible themselves, and were both ends of each of its edges rewarded.
         """
-        t, k = self.transition.astype(np.float64), self.labels
-        open_ = np.ones((len(row), k), bool)
-        lead = (emission[:, 1:] - emission[:, :1]).astype(np.float64)
-        if len(a):
-            most = self.skip.max(0)[1:]
-            np.add.at(lead, np.concatenate([a, b]), most)
-        new_text = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-        last = np.concatenate([new_text[1:], [True]]) if len(row) else new_text
+        t, k = self.transition, self.labels
         left_gain, right_gain = t[:, 1:] - t[:, :1], t[1:, :] - t[:1, :]  # over "none", by the label before or after
-        for turn in range(4):
-            some = np.arange(len(row)) if turn == 0 else np.flatnonzero(open_[:, 1:].any(1))
+        lead = emission[:, 1:] - emission[:, :1]
+        if len(a):
+            np.add.at(lead, np.concatenate([a, b]), self.skip.max(0)[1:])
+        new_text = np.concatenate([[True], row[1:] != row[:-1]])
+        last = np.concatenate([new_text[1:], [True]])
+        open_ = np.zeros((len(row), k), bool)
+        open_[:, 0] = True
+        # at the ends of a text a neighbour is missing, which gains nothing
+        open_[:, 1:] = lead + (np.maximum(left_gain.max(0), 0) + np.maximum(right_gain.max(1), 0)) >= -1e-3
+        some = np.flatnonzero(open_[:, 1:].any(1))
+        for _ in range(5):
             if not len(some):
                 break
-            bound = lead[some].copy()
-            if turn == 0:
-                inner = ~new_text
-                bound[inner] += left_gain.max(0)
-                bound[~last] += right_gain.max(1)
-            else:
-                before, after = np.full(bound.shape, -np.inf), np.full(bound.shape, -np.inf)
-                left, right = open_[np.maximum(some - 1, 0)], open_[np.minimum(some + 1, len(row) - 1)]
-                for u in range(k):
-                    before = np.maximum(before, np.where(left[:, u, None], left_gain[u], -np.inf))
-                    after = np.maximum(after, np.where(right[:, u, None], right_gain[:, u], -np.inf))
-                bound += np.where(new_text[some][:, None], 0, before) + np.where(last[some][:, None], 0, after)
-            shut = bound < -1e-3
-            shut &= open_[some, 1:]
+            left, right = open_[np.maximum(some - 1, 0)], open_[np.minimum(some + 1, len(row) - 1)]
+            before, after = np.broadcast_to(left_gain[0], (len(some), k - 1)).copy(), np.broadcast_to(right_gain[:, 0], (len(some), k - 1)).copy()
+            for u in range(1, k):
+                before = np.maximum(before, np.where(left[:, u, None], left_gain[u], -np.inf))
+                after = np.maximum(after, np.where(right[:, u, None], right_gain[:, u], -np.inf))
+            bound = lead[some] + np.where(new_text[some][:, None], 0, before) + np.where(last[some][:, None], 0, after)
+            shut = (bound < -1e-3) & open_[some, 1:]
             if not shut.any():
                 break
             open_[some, 1:] &= ~shut
+            some = some[open_[some, 1:].any(1)]
         return open_
 
     def decode(self, row: np.ndarray, emission: np.ndarray, edges: tuple[np.ndarray, np.ndarray, np.ndarray], every: bool = False) -> np.ndarray:
@@ -529,7 +543,7 @@ def train(texts: list[str], gold: Callable[[Batch], np.ndarray], lexicon: Lexico
     ea, eb, ek = whole.edges()
     w, w_sum = np.zeros((len(known), labels)), np.zeros((len(known), labels))
     t, t_sum = np.zeros((labels, labels)), np.zeros((labels, labels))
-    skip, skip_sum = np.zeros((2, labels)), np.zeros((2, labels))
+    skip, skip_sum = np.zeros((3, labels)), np.zeros((3, labels))
     step = 1
     edge_row = whole.row[ea]
     for _ in range(passes):
