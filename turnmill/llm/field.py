@@ -521,65 +521,82 @@ def _repeats(tokens: np.ndarray) -> bool:
     return len(tokens) > 1 and bool((np.diff(tokens) <= 0).any())
 
 
-def train(texts: list[str], gold: Callable[[Batch], np.ndarray], lexicon: Lexicon, labels: int, passes: int, least: int, seed: int, size: int = 64) -> Field:
-    """The field by an averaged structured perceptron: all weights, those of skip edges too, follow the mistakes of loopy inference."""
+class _Part:
+    """Some training texts: their labels, feature numbers token by token, and skip edges."""
+
+    def __init__(self, batch: Batch, gold: np.ndarray, known: np.ndarray):
+        tokens, numbers = [], []
+        for t, keys in batch.features():
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            ok = known[at] == keys
+            tokens.append((np.arange(len(batch), dtype=np.int32) if t is None else t.astype(np.int32))[ok])
+            numbers.append(at[ok].astype(np.int32))
+        token, number = np.concatenate(tokens), np.concatenate(numbers)
+        self.feature = number[np.argsort(token, kind="stable")]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(batch)))])
+        self.gold, self.edges = gold, batch.edges()
+        self.row_start, self.row_size, self.edge_row = batch.row_start, batch.row_size, batch.row[self.edges[0]]
+
+
+def train(texts: list[str], gold: Callable[[Batch, int], np.ndarray], lexicon: Lexicon, labels: int, passes: int, least: int, seed: int, size: int = 64, part: int = 4000) -> Field:
+    """The field by an averaged structured perceptron: all weights, those of skip edges too, follow the mistakes of loopy inference.
+
+    The texts are read in parts, so that only numbers of frequent features are held.
+    """
     rng = np.random.default_rng(seed)
-    whole = Batch(texts, lexicon)
-    truth = gold(whole)
-    tokens, keys = [], []
-    for t, k in whole.features():
-        tokens.append(np.arange(len(whole)) if t is None else t)
-        keys.append(k)
-    token, key = np.concatenate(tokens), np.concatenate(keys)
-    known, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    frequent = count >= least
-    number = np.cumsum(frequent) - 1
-    keep = frequent[inverse]
-    token, feature = token[keep], number[inverse[keep]]
-    known = known[frequent]
-    order = np.argsort(token, kind="stable")
-    token, feature = token[order], feature[order]
-    bounds = np.searchsorted(token, np.arange(len(whole) + 1))
-    ea, eb, ek = whole.edges()
-    w, w_sum = np.zeros((len(known), labels)), np.zeros((len(known), labels))
+    known, count = np.zeros(0, _U), np.zeros(0, np.int64)
+    begins = range(0, len(texts), part)
+    for begin in begins:
+        found = [np.unique(k, return_counts=True) for _, k in Batch(texts[begin : begin + part], lexicon).features()]
+        keys, inverse = np.unique(np.concatenate([known, *[k for k, _ in found]]), return_inverse=True)
+        count = np.bincount(inverse, np.concatenate([count, *[c for _, c in found]]), len(keys)).astype(np.int64)
+        known = keys
+    known = known[count >= least]
+    del count, keys, inverse, found
+    parts = []
+    for begin in begins:
+        batch = Batch(texts[begin : begin + part], lexicon)
+        parts.append(_Part(batch, gold(batch, begin), known))
+    w, w_sum = np.zeros((len(known), labels), np.float32), np.zeros((len(known), labels), np.float32)
     t, t_sum = np.zeros((labels, labels)), np.zeros((labels, labels))
     skip, skip_sum = np.zeros((3, labels)), np.zeros((3, labels))
-    step = 1
-    edge_row = whole.row[ea]
+    rounds = sum(max(1, len(p.row_size) // size) for p in parts) * passes
+    step = 0
     for _ in range(passes):
-        for rows in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // size)):
-            rows = np.sort(rows[whole.row_size[rows] > 0])
-            view = Pieces(whole.row_start[rows], whole.row_size[rows], rows)
-            at = view.at
-            row = np.repeat(rows, view.row_size)
-            f = np.concatenate([feature[bounds[whole.row_start[r]] : bounds[whole.row_start[r] + whole.row_size[r]]] for r in rows])
-            sizes = bounds[at + 1] - bounds[at]
-            emission = np.add.reduceat(w[f], np.cumsum(sizes) - sizes, axis=0).astype(np.float32)
-            emission += np.float32(MARGIN) * (np.arange(labels) != truth[at][:, None])  # the right labelling must win by a margin
-            field = object.__new__(Field)
-            field._potentials(t, np.maximum(skip, 0))
-            live = np.isin(edge_row, rows)
-            la, lb, lk = view.local(ea[live]), view.local(eb[live]), ek[live]
-            path = field.decode(row, emission, (la, lb, lk))
-            want = truth[at]
-            wrong = np.flatnonzero(path != want)
-            if len(wrong):
+        for p in (parts[i] for i in rng.permutation(len(parts))):
+            ea, eb, ek = p.edges
+            for rows in np.array_split(rng.permutation(len(p.row_size)), max(1, len(p.row_size) // size)):
+                left = (rounds - step) / rounds  # a change counts for the average as long as it stands
+                step += 1
+                rows = np.sort(rows[p.row_size[rows] > 0])
+                view = Pieces(p.row_start[rows], p.row_size[rows], rows)
+                at, row = view.at, np.repeat(rows, view.row_size)
+                f = np.concatenate([p.feature[p.bounds[p.row_start[r]] : p.bounds[p.row_start[r] + p.row_size[r]]] for r in rows])
+                sizes = p.bounds[at + 1] - p.bounds[at]
+                want = p.gold[at]
+                emission = np.add.reduceat(w[f], np.cumsum(sizes) - sizes, axis=0)
+                emission += np.float32(MARGIN) * (np.arange(labels) != want[:, None])  # the right labelling must win by a margin
+                field = object.__new__(Field)
+                field._potentials(t, np.maximum(skip, 0))
+                live = np.isin(p.edge_row, rows)
+                la, lb, lk = view.local(ea[live]), view.local(eb[live]), ek[live]
+                path = field.decode(row, emission, (la, lb, lk))
+                wrong = np.flatnonzero(path != want)
+                if not len(wrong):
+                    continue
                 token_of = np.repeat(np.arange(len(at)), sizes)
                 bad = np.isin(token_of, wrong)
                 fs, ts = f[bad], token_of[bad]
-                for label, sign in ((want[ts], 1.0), (path[ts], -1.0)):
-                    np.add.at(w, (fs, label), sign)
-                    np.add.at(w_sum, (fs, label), sign * step)
                 joined = np.flatnonzero(np.diff(row) == 0)
                 for some, sign in ((want, 1.0), (path, -1.0)):
+                    np.add.at(w, (fs, some[ts]), sign)
+                    np.add.at(w_sum, (fs, some[ts]), sign * left)
                     np.add.at(t, (some[joined], some[joined + 1]), sign)
-                    np.add.at(t_sum, (some[joined], some[joined + 1]), sign * step)
-                for some, sign in ((want, 1.0), (path, -1.0)):
+                    np.add.at(t_sum, (some[joined], some[joined + 1]), sign * left)
                     both = (some[la] == some[lb]) & (some[la] > 0)
                     np.add.at(skip, (lk[both], some[la[both]]), sign)
-                    np.add.at(skip_sum, (lk[both], some[la[both]]), sign * step)
-            step += 1
-    w, t, skip = w - w_sum / step, t - t_sum / step, np.maximum(0, skip - skip_sum / step)
-    skip[:, 0] = 0
-    used = np.abs(w).max(1) > 1e-9
-    return Field(known[used], w[used], t, skip)
+                    np.add.at(skip_sum, (lk[both], some[la[both]]), sign * left)
+    skip_sum = np.maximum(0, skip_sum)
+    skip_sum[:, 0] = 0
+    used = np.abs(w_sum).max(1) > 1e-6
+    return Field(known[used], w_sum[used], t_sum, skip_sum)
