@@ -223,7 +223,6 @@ class Batch:
         yield None, key("ps ns", ps, ns, shape + (self.joined.astype(_U) << _U(24)))
         yield None, key("p2", p2, p1)
         yield None, key("n2", n1, n2)
-        yield None, key("pn", p1, n1)
         for name in self.lexicon.classes:
             at = np.flatnonzero(self.bits & self.lexicon.bit[name])
             yield at, key("class " + name, shape[at])
@@ -239,11 +238,10 @@ class Batch:
             yield latin, key("first w", first, word[latin])
             yield latin, key("first p1", first, p1[latin])
             yield latin, key("first n1", first, n1[latin])
-            yield latin, key("first ns", first, ns[latin], ps[latin])
+            yield latin, key("pn", p1[latin], n1[latin])
             yield latin, key("tail", self.tail[latin], cap.astype(_U))
-            t1, t2 = self.near(self.tail, 1, out)[latin], self.near(self.tail, -1, out)[latin]
+            t1 = self.near(self.tail, 1, out)[latin]
             yield latin, key("tail after", t1, cap.astype(_U), ns[latin])
-            yield latin, key("tail before", t2, cap.astype(_U), ps[latin])
             yield latin, key("tail p1", self.tail[latin], p1[latin])
         han = np.flatnonzero(self.kind == HAN)
         if len(han):

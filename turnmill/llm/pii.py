@@ -68,7 +68,7 @@ FORMATS = {
 
 _DIGIT_WORDS = "zero oh one two three four five six seven eight nine double triple plus"
 _STREET_WORDS = "street road avenue lane close court drive place square terrace crescent gardens grove boulevard hill row walk way parade mews st rd ave ln blvd"
-_QUIET = {"@": "@", "dot": "dot", "at": "at", "han at": "艾 圈", "han said": "〇 零 幺 一 二 三 四 五 六 七 八 九", "number": "号", "[": "[", "week": "周 星 礼"}
+_QUIET = {"@": "@", "dot": "dot", "at": "at", "han at": "艾 圈", "han said": "〇 零 幺 一 二 三 四 五 六 七 八 九", "number": "号", "[": "[", "week": "周 星 礼", "points": ". :"}
 #: What a text must have for a format to match in it, so that the others need not be searched.
 NEEDS = {
     "mail": lambda has, digits: has("@") > 0,
@@ -79,8 +79,9 @@ NEEDS = {
     "street": lambda has, digits: (digits > 0) & (has("street") > 0),
     "han_street": lambda has, digits: has("number") > 0,
     "weekday": lambda has, digits: has("week") > 0,
+    "ip": lambda has, digits: (digits >= 3) & (has("points") >= 3),
     "held": lambda has, digits: has("[") > 0,
-    **{name: (lambda has, digits, least=least: digits >= least) for name, least in (("mobile", 11), ("phone", 7), ("id18", 17), ("ssn", 9), ("passport", 7), ("ip", 4))},
+    **{name: (lambda has, digits, least=least: digits >= least) for name, least in (("mobile", 11), ("phone", 7), ("id18", 17), ("ssn", 9), ("passport", 7))},
 }
 
 _CALENDAR = "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december mon tue wed thu fri sat sun"
@@ -94,31 +95,37 @@ def lexicon() -> Lexicon:
     return Lexicon(classes, pii_samples.SURNAMES, sorted(pii_samples.COMPOUND_SURNAMES), {name: (pattern, NEEDS[name]) for name, pattern in FORMATS.items()}, quiet, ("common", "calendar"))
 
 
-_PLAIN = re.compile("[\n -~一-鿿，。！？：；（）、…“”‘’【】♪]*")
+_STAYS = "\n -~À-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž一-鿿，。！？：；（）、…“”‘’【】♪"
+_PLAIN, _ODD = re.compile(f"[{_STAYS}]*"), re.compile(f"[^{_STAYS}]")
+
+
+@cache
+def _plain_piece(ch: str) -> str:
+    """What stands for a character outside the plain ones."""
+    c = unicodedata.category(ch)
+    if c in ("Cf", "Cc") or "︀" <= ch <= "️":
+        return "\n" if ch in "\x85" else ""
+    if c == "Zs":
+        return " "
+    return "-" if ch in "‐‑﹣－" else unicodedata.normalize("NFKC", ch)
 
 
 def plain_with_offsets(text: str) -> tuple[str, list[int] | range]:
     """The text in plain characters, and for each of its characters the place it comes from."""
     if _PLAIN.fullmatch(text):
         return text, range(len(text) + 1)
-    out, at = [], []
-    for i, ch in enumerate(text):
-        if ch < "\x7f" or "一" <= ch <= "鿿":
-            piece = ch
-        else:
-            c = unicodedata.category(ch)
-            if c in ("Cf", "Cc") or "︀" <= ch <= "️":
-                piece = "\n" if ch in "\x85" else ""
-            elif c == "Zs":
-                piece = " "
-            elif ch in "‐‑﹣－":
-                piece = "-"
-            elif ch in "，。！？：；（）、…“”‘’【】":
-                piece = ch
-            else:
-                piece = unicodedata.normalize("NFKC", ch)
+    out, at, done = [], [], 0
+    for m in _ODD.finditer(text):
+        i, ch = m.start(), m.group()
+        if done < i:
+            out.append(text[done:i])
+            at += range(done, i)
+        done = i + 1
+        piece = _plain_piece(ch)
         out.append(piece)
         at += [i] * len(piece)
+    out.append(text[done:])
+    at += range(done, len(text))
     plain = "".join(out)
     if re.search("[Ͱ-ϿЀ-ԯ]", plain):  # look-alikes in Latin words or mixed into other signs
         plain = re.sub(
