@@ -8,6 +8,7 @@ are folded natively, the few others in an Arrow batch.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -227,6 +228,14 @@ def critical_fingerprint(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(nfkc(text)), F.lit(ascii_edges(FACT_PATTERN)), F.lit(0)), "|")
 
 
+_FACTS = re.compile(ascii_edges(FACT_PATTERN).replace("(?iu)", ""), re.IGNORECASE | re.ASCII)
+
+
+def fact_tokens(text: str) -> list[str]:
+    """C14 for one text: its critical facts in order."""
+    return [m.group() for m in _FACTS.finditer(unicodedata.normalize("NFKC", text).lower())]
+
+
 def meeting_facts(text: Column) -> Column:
     """The distinct critical facts of a meeting's text."""
     t = F.lower(nfkc(text))

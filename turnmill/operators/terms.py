@@ -69,12 +69,13 @@ def alias_edges(pairs: DataFrame, keys: Sequence[str], alias: str, canonical: st
     return rows.groupBy(*keys, "alias_key").agg(F.min_by("canonical", F.struct("o_", "canonical")).alias("canonical"), (F.countDistinct("c_") > 1).alias("conflict"))
 
 
-def close_aliases(edges: DataFrame, keys: Sequence[str], rounds: int = 12) -> DataFrame:
+def close_aliases(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """G1: every alias with its terminal canonical; NULL where its walk meets a cycle or a conflicting alias.
 
-    Pointer jumping: after ``k`` rounds each alias has walked ``2**k`` edges, so
-    the default closes chains of 4,096.  An alias whose canonical has its own key
-    is terminal.  What still walks then runs in a cycle.
+    Pointer jumping: after ``k`` rounds each alias has walked ``2**k`` edges.  It
+    goes on until no alias walks, or until as many edges are walked as there are
+    aliases; what still walks then runs in a cycle.  An alias whose canonical has
+    its own key is terminal.
     """
     e = edges.select(*keys, "alias_key", "canonical", tx.correction_text(F.col("canonical")).alias("next_key"), "conflict")
     known = e.select(*keys, F.col("alias_key").alias("next_key"), F.col("conflict").alias("next_conflict"), F.lit(True).alias("goes_on"))
@@ -84,9 +85,9 @@ def close_aliases(edges: DataFrame, keys: Sequence[str], rounds: int = 12) -> Da
         (F.coalesce("goes_on", F.lit(False)) & (F.col("next_key") != F.col("alias_key"))).alias("open"),
     )
     state = cut(state)
-    for _ in range(rounds):
-        if state.where("open and not bad").isEmpty():
-            break
+    aliases, walked = state.count(), 1
+    while walked <= aliases and not state.where("open and not bad").isEmpty():
+        walked *= 2
         ahead = state.select(*keys, F.col("alias_key").alias("next_key"), F.col("canonical").alias("c2"), F.col("next_key").alias("n2"), F.col("bad").alias("b2"), F.col("open").alias("o2"))
         moves = F.col("open") & ~F.col("bad") & F.col("n2").isNotNull()
         state = cut(
