@@ -110,3 +110,54 @@ def test_chains_of_any_length_are_closed(spark):
     rows = [(f"k{i:05d}", f"k{i + 1:05d}", False) for i in range(n)] + [("p", "q", False), ("q", "p", False)]
     got = {r.alias_key: r.terminal for r in terms.close_aliases(spark.createDataFrame(rows, "alias_key string, canonical string, conflict boolean"), []).collect()}
     assert got["k00000"] == got[f"k{n - 1:05d}"] == f"k{n:05d}" and got["p"] is None and got["q"] is None
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_variants_against_all_pairs(spark):
+    some = random.Random(8)
+    words = {"".join(some.choices("abc", k=some.randrange(1, 9))) for _ in range(150)}
+    for w in list(words)[:60]:  # longer words and their slips
+        base = w + "".join(some.choices("abcdefgh", k=some.randrange(4, 18)))
+        words.add(base)
+        for _ in range(3):
+            i = some.randrange(1, len(base))
+            words.add(base[:i] + some.choice(["", "x", "yz"]) + base[i + some.choice([0, 1, 2]) :])
+    want = {(a, b) for a in words for b in words if a < b and a[0] == b[0] and abs(len(a) - len(b)) < 3 and a not in b and b not in a and _edits(a, b) <= max(1, max(len(a), len(b)) // 4)}
+    df = spark.createDataFrame([(w,) for w in [*words, *list(words)[:9], "", None]], "key string")
+    got = [tuple(r) for r in terms.variant_pairs(df, "key").collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+    assert terms.variant_pairs(df.limit(0), "key").count() == 0
+
+
+def test_predicates_of_surfaces(spark):
+    rows = [
+        ("Data-Vault", "datavault", "data vault", "datavault", True), ("vector", "vector", "vectro", "vectro", False), ("vectoring", "vectoring", "vectorinq", "vectorinq", True), ("abcdefghijkl", "abcdefghijkl", "abcdefghi", "abcdefghi", False),
+        ("abcdefghixyzabcd", "abcdefghixyzabcd", "abcdefqhixyza", "abcdefqhixyza", False), ("a bcdefghixyzabcd", "abcdefghixyzabcd", "abcdefqhixyza", "abcdefqhixyza", True), ("", "", "x", "x", False), ("bold", "bold", "cold", "cold", False),
+    ]
+    df = spark.createDataFrame(rows, "l string, lk string, r string, rk string, want boolean")
+    assert all(r.want == r.got for r in df.withColumn("got", terms.likely_variants(*[F.col(c) for c in ("l", "r", "lk", "rk")])).collect())
+    pairs = [("kube", "kubr", True), ("kube", "kb", True), ("kube", "k", False), ("kubernet", "kubernes", False), ("abcdef", "axcdyf", True), ("abcdef", "axcdyz", False), ("b", "c", False)]
+    df = spark.createDataFrame(pairs, "l string, r string, want boolean")
+    assert all(r.want == r.got for r in df.withColumn("got", terms.prefix_variants(F.col("l"), F.col("r"))).collect())
+
+
+def test_grams_are_counted_in_their_row(spark):
+    from collections import Counter
+
+    from turnmill.operators import quality
+
+    texts = [None, "", "abcde", "abcdef", "嗯嗯好" * 60, "la " * 100, "x" * 30_000, "\U0001f389" * 9 + "abcabcabcabcabc"]
+    got = quality.repetition(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string"), "text").orderBy("k").collect()
+    for r in got:
+        t = "".join(c for c in (texts[r.k] or "").lower() if c.isalnum())
+        c = Counter(t[i : i + 6] for i in range(len(t) - 5))
+        n = sum(c.values())
+        assert (r.analyzed_ngram_count, r.max_ngram_occurrences) == (n, max(c.values(), default=0)) and abs(r.repeated_ngram_ratio - (sum(v for v in c.values() if v >= 3) / n if n else 0)) < 1e-12

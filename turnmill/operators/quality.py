@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,29 +20,35 @@ LEAST_DENSITY_TOKENS = 120
 MOST_TOKENS_PER_SECOND = 12
 
 
-def repetition(df: DataFrame, key: str, text: str) -> DataFrame:
+@F.pandas_udf("analyzed_ngram_count bigint, repeated bigint, max_ngram_occurrences bigint")
+def _gram_counts(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes) - GRAM + 1
+        if n <= 0:
+            rows.append((0, 0, 0))
+            continue
+        low, high = codes[:n], codes[GRAM // 2 : GRAM // 2 + n]  # a code point has 21 bits: three to a word
+        for i in range(1, GRAM // 2):
+            low, high = low << np.uint64(21) | codes[i : i + n], high << np.uint64(21) | codes[GRAM // 2 + i : GRAM // 2 + i + n]
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        edges = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
+        counts = np.diff(edges)
+        rows.append((n, int(counts[counts >= 3].sum()), int(counts.max())))
+    return pd.DataFrame(rows, columns=["analyzed_ngram_count", "repeated", "max_ngram_occurrences"])
+
+
+def repetition(df: DataFrame, text: str) -> DataFrame:
     """A1: character 6-grams that occur three times or more, as a share of all, and the most frequent one's count.
 
-    Grams are counted before the shuffle (a partial aggregation) and hashed, so a
-    row moves 16 bytes a distinct gram, not the gram.
+    Every row is measured where it is: nothing is shuffled, and no gram is left out.
     """
-    rows = df.select(F.col(key).alias("k_"), tx.term_key(F.col(text)).alias("t_"))
-    grams = (
-        rows.select("k_", F.explode(F.regexp_extract_all("t_", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))).alias("g"))
-        .groupBy("k_", F.xxhash64("g").alias("g"))
-        .count()
-        .groupBy("k_")
-        .agg(F.sum("count").alias("analyzed_ngram_count"), F.sum(F.when(F.col("count") >= 3, F.col("count")).otherwise(0)).alias("repeated"), F.max("count").alias("max_ngram_occurrences"))
-    )
-    return (
-        rows.select("k_", F.char_length("t_").alias("analyzed_character_count"))
-        .join(grams, "k_", "left")
-        .select(
-            F.col("k_").alias(key), "analyzed_character_count", F.coalesce("analyzed_ngram_count", F.lit(0)).alias("analyzed_ngram_count"),
-            F.coalesce(F.col("repeated") / F.col("analyzed_ngram_count"), F.lit(0.0)).alias("repeated_ngram_ratio"),
-            F.coalesce("max_ngram_occurrences", F.lit(0)).alias("max_ngram_occurrences"),
-        )
-    )
+    key = tx.term_key(F.col(text))
+    rows = df.withColumn("t_", key).withColumn("g_", _gram_counts(F.col("t_")))
+    ratio = F.when(F.col("g_.analyzed_ngram_count") > 0, F.col("g_.repeated") / F.col("g_.analyzed_ngram_count")).otherwise(0.0)
+    return rows.select(*df.columns, F.char_length("t_").alias("analyzed_character_count"), "g_.analyzed_ngram_count", ratio.alias("repeated_ngram_ratio"), "g_.max_ngram_occurrences")
 
 
 def reasons(characters: Column, duration: Column, tokens: Column, analyzed: Column, ratio: Column, most: Column) -> Column:
@@ -59,8 +67,8 @@ def reasons(characters: Column, duration: Column, tokens: Column, analyzed: Colu
 def quality_gate(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``key, text, duration_seconds, completion_tokens`` judged; one row a chunk."""
     characters = F.char_length(tx.no_space(F.coalesce("text", F.lit(""))))
-    rows = chunks.select(key, characters.alias("character_count"), "duration_seconds", "completion_tokens")
-    judged = rows.join(repetition(chunks, key, "text"), key)
+    rows = chunks.select(key, "text", characters.alias("character_count"), "duration_seconds", "completion_tokens")
+    judged = repetition(rows, "text")
     codes = reasons(F.col("character_count"), F.col("duration_seconds"), F.col("completion_tokens"), F.col("analyzed_character_count"), F.col("repeated_ngram_ratio"), F.col("max_ngram_occurrences"))
     d = F.when(F.col("duration_seconds") > 0, F.col("duration_seconds"))
     return judged.select(

@@ -240,19 +240,66 @@ def surfaces(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def variant_limit(length: Column) -> Column:
+    """The most edits between variants of which the longer has ``length`` characters."""
+    return F.greatest(F.lit(1), F.floor(length / 4).cast("int"))
+
+
 def variant_pairs(keys: DataFrame, key: str) -> DataFrame:
-    """pairs of keys within edit distance ``max(1, floor(n / 4))`` that begin alike, neither inside the other.
+    """pairs of keys within edit distance ``max(1, floor(n / 4))`` that begin alike and differ by less than three in length, neither inside the other.
 
-    Blocked by first letter and length, as lengths differ by less than three: a
-    hash join on ``(letter, length)`` with five lengths, not a join of all pairs.
+    A hash join on segments: within ``k`` edits one of ``k + 1`` segments of the
+    shorter key stands in the longer one, at a place that the edits before and after
+    it allow.  So pairs come from equal segments, not from equal first letters.
     """
-    k = keys.select(F.col(key).alias("left")).distinct().withColumn("letter", F.substring("left", 1, 1)).withColumn("n", F.length("left"))
-    other = k.select(F.col("left").alias("right"), "letter", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("n"))
-    most = F.greatest(F.lit(1), F.floor(0.25 * F.greatest(F.length("left"), F.length("right"))).cast("int"))
-    return (
-        k.join(other, ["letter", "n"])
-        .where(F.col("left") < F.col("right"))
-        .where(~F.contains("left", "right") & ~F.contains("right", "left"))
-        .where(F.levenshtein("left", "right") <= most)
-        .select("left", "right")
-    )
+    k = keys.select(F.col(key).alias("w_")).where("w_ != ''").distinct().withColumn("n_", F.char_length("w_"))
+    cut_at = "cast(floor({i} * nr / (k + 1)) as int)"
+    p, e = cut_at.format(i="i"), cut_at.format(i="(i + 1)")
+    own = k.select("w_", F.col("n_").alias("nr"), F.explode(F.sequence(F.col("n_"), F.col("n_") + 2)).alias("ns")).withColumn("k", variant_limit(F.col("ns"))).where("ns - nr <= k")
+    own = own.select("w_", "ns", "nr", F.explode(F.expr(f"transform(sequence(0, k), i -> struct(i, substring(w_, {p} + 1, {e} - {p}) as seg))")).alias("s_")).select(F.col("w_").alias("short"), "ns", "nr", "s_.*")
+    other = k.select("w_", F.col("n_").alias("ns"), F.explode(F.expr("sequence(greatest(n_ - 2, 1), n_)")).alias("nr")).withColumn("k", variant_limit(F.col("ns"))).where("ns - nr <= k")
+    shifts = "sequence(greatest(-i, ns - nr - (k - i)), least(i, ns - nr + (k - i)))"
+    places = f"flatten(transform(sequence(0, k), i -> transform({shifts}, h -> struct(i, {p} + h as at, {e} - {p} as size))))"
+    other = other.select("w_", "ns", "nr", F.explode(F.expr(f"filter({places}, x -> x.at >= 0 and x.at + x.size <= ns)")).alias("s_"))
+    other = other.select(F.col("w_").alias("long"), "ns", "nr", "s_.i", F.expr("substring(w_, s_.at + 1, s_.size)").alias("seg"))
+    first = lambda c: F.substring(c, 1, 1)
+    pairs = own.withColumn("a_", first("short")).join(other.withColumn("a_", first("long")), ["ns", "nr", "i", "seg", "a_"]).where("short != long")
+    pairs = pairs.where(~F.contains("long", "short") & (F.levenshtein("short", "long") <= variant_limit(F.col("ns"))))
+    return pairs.select(F.least("short", "long").alias("left"), F.greatest("short", "long").alias("right")).distinct()
+
+
+def single_letter_token(text: Column) -> Column:
+    """Whether a surface has a token of one letter."""
+    return text.rlike(r"(?:^|[\s_-])[A-Za-z](?:$|[\s_-])")
+
+
+def likely_variants(left: Column, right: Column, left_key: Column, right_key: Column) -> Column:
+    """F17 as a predicate of two surfaces: equal keys, or near ones that begin alike; lengths may differ by three or more only beside a token of one letter."""
+    long = F.greatest(F.char_length(left_key), F.char_length(right_key))
+    apart = F.abs(F.char_length(left_key) - F.char_length(right_key)) >= 3
+    near = (
+        (F.substring(left_key, 1, 1) == F.substring(right_key, 1, 1)) & ~F.contains(left_key, right_key) & ~F.contains(right_key, left_key)
+        & (~apart | single_letter_token(left) | single_letter_token(right)) & (F.levenshtein(left_key, right_key) <= variant_limit(long))
+    )
+    return (left_key != "") & (right_key != "") & ((left_key == right_key) | near)
+
+
+def prefix_variants(left_key: Column, right_key: Column) -> Column:
+    """short keys that begin alike and are two edits apart at most."""
+    size = [F.char_length(left_key), F.char_length(right_key)]
+    return (left_key != "") & (right_key != "") & (F.substring(left_key, 1, 1) == F.substring(right_key, 1, 1)) & (F.greatest(*size) <= 6) & (F.abs(size[0] - size[1]) <= 2) & (F.levenshtein(left_key, right_key) <= 2)
+
+
+def signals(spelled: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Groups of surfaces that mean one term, and whether each must be mapped or only reviewed.
+
+    ``spelled`` are surfaces ``(surface, term_key, identifier)``, ``grouped`` the
+    components ``(node, component)`` of their keys' variants; a key without variants
+    is a group of its own.  A group has two keys or two spellings; it must be mapped
+    if one key has two spellings and a surface looks like an identifier.
+    """
+    s = spelled.where("term_key != ''").join(grouped.select(F.col("node").alias("term_key"), "component"), "term_key", "left").withColumn("component", F.coalesce("component", "term_key"))
+    keys = s.groupBy("component", "term_key").agg(F.count_distinct("surface").alias("spellings"), F.max("identifier").alias("identifier"))
+    groups = keys.groupBy("component").agg(F.count("*").alias("keys"), F.sum("spellings").alias("spellings"), F.max("spellings").alias("most_"), F.max("identifier").alias("id_"))
+    sure = (F.col("most_") >= 2) & F.col("id_")
+    return groups.where("keys >= 2 or spellings >= 2").select("component", "keys", "spellings", F.when(sure, "mapped").otherwise("review").alias("required_disposition"))

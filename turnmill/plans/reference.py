@@ -14,7 +14,7 @@ from turnmill.functions import text as tx
 from turnmill.operators import batching, evidence, quality, terms, timeline
 from turnmill.operators.timeline import SESSION
 from turnmill.plans import sql as q
-from turnmill.runtime import read_table
+from turnmill.runtime import cut, read_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -59,7 +59,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 50 + 10.0).alias("duration_seconds"),
         F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 4).cast("bigint").alias("completion_tokens"),
-    ).repartition("chunk_id")
+    )
 
 
 @query(
@@ -534,12 +534,14 @@ def alias_occurrence_count(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences of every term and alias; each text is read once for all of them."""
     t = read_table(spark, d, "terminology_eval")
     names = t.select("eval_id", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.expr("cast(array() as array<string>)")))).alias("term")).where("term != ''").distinct()
-    listed = [tuple(r) for r in names.limit(50_001).collect()]
-    if len(listed) > 50_000:
-        raise ValueError("more than 50,000 terms")
-    hit = F.filter(F.array([F.struct(F.lit(e).alias("eval_id"), F.lit(x).alias("term")) for e, x in listed]), lambda x: F.contains(F.col("text"), x["term"]))
-    rows = _seg(spark, d).select("text", F.explode(hit).alias("x"))
-    return rows.groupBy("x.eval_id", "x.term").agg(F.sum(tx.literal_count(F.col("text"), F.col("x.term"))).alias("occurrences"), F.count("*").alias("segments"))
+    # a text is compared only with the terms whose first three characters (short terms: all) it holds
+    rows = _seg(spark, d).select("segment_id", "text")
+    found = None
+    for size, some in ((3, names.where("char_length(term) >= 3")), (2, names.where("char_length(term) = 2")), (1, names.where("char_length(term) = 1"))):
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("text") - (size - 1)), lambda i: F.substring(F.col("text"), i, F.lit(size))))
+        j = rows.where(F.char_length("text") >= size).select("text", F.explode(grams).alias("gram")).join(some.withColumn("gram", F.substring("term", 1, size)), "gram").where(F.contains("text", "term"))
+        found = j if found is None else found.unionByName(j)
+    return found.groupBy("eval_id", "term").agg(F.sum(tx.literal_count(F.col("text"), F.col("term"))).alias("occurrences"), F.count("*").alias("segments"))
 
 
 @query()
@@ -562,22 +564,19 @@ def surface_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VARIANTS = """d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9+#_\\-]*[A-Za-z0-9+#]')) AS surface FROM documents),
-k AS (SELECT lower(regexp_replace(surface, '[^A-Za-z0-9]', '', 'g')) AS key FROM d WHERE length(surface) >= 3 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+k AS (SELECT lower(regexp_replace(surface, '[^A-Za-z0-9]', '', 'g')) AS key FROM d WHERE length(surface) >= 3 GROUP BY 1),
 v AS (SELECT a.key AS l, b.key AS r FROM k a JOIN k b ON substr(a.key, 1, 1) = substr(b.key, 1, 1) AND a.key < b.key AND abs(length(a.key) - length(b.key)) < 3
   WHERE a.key <> '' AND NOT contains(a.key, b.key) AND NOT contains(b.key, a.key) AND levenshtein(a.key, b.key) <= greatest(1, CAST(floor(0.25 * greatest(length(a.key), length(b.key))) AS INT)))"""
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
-    """The keys of surfaces that occur in three documents or more."""
-    docs = read_table(spark, d, "documents")
-    rows = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(terms.SURFACE), F.lit(0))).alias("surface")).where(F.length("surface") >= 3)
-    rows = rows.select("doc_id", F.lower(F.regexp_replace("surface", r"[^A-Za-z0-9]", "")).alias("key"))
-    return rows.groupBy("key").agg(F.countDistinct("doc_id").alias("n")).where("n >= 3 and key != ''")
+    """The keys of all surfaces."""
+    return terms.surfaces(read_table(spark, d, "documents"), "doc_id", "text").where("term_key != ''").select(F.col("term_key").alias("key")).distinct()
 
 
 @query(f"WITH {_VARIANTS} SELECT l AS left, r AS right FROM v".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'))
 def surface_variants(spark: SparkSession, d: str) -> DataFrame:
-    """J7, F17, F18, F47, F48, C15, C16."""
+    """Variants among all keys, however rare."""
     return terms.variant_pairs(_keys(spark, d), "key")
 
 
@@ -590,6 +589,19 @@ def variant_components(spark: SparkSession, d: str) -> DataFrame:
     return terms.components(terms.variant_pairs(_keys(spark, d), "key"), "left", "right")
 
 
+@query(
+    f"""WITH RECURSIVE {_VARIANTS}, e AS (SELECT l AS a, r AS b FROM v UNION SELECT r, l FROM v), reach(a, b) AS (SELECT a, a FROM e UNION SELECT a, b FROM e UNION SELECT x.a, e.b FROM reach x JOIN e ON e.a = x.b), g AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
+s AS (SELECT DISTINCT surface, lower(regexp_replace(surface, '[^A-Za-z0-9]', '', 'g')) AS term_key, regexp_matches(surface, {q.lit(terms.IDENTIFIER)}) AS identifier FROM d WHERE length(surface) >= 3),
+p AS (SELECT coalesce(g.component, term_key) AS component, term_key, count(DISTINCT surface) AS n, bool_or(identifier) AS i FROM s LEFT JOIN g ON g.node = s.term_key WHERE term_key <> '' GROUP BY ALL)
+SELECT component, count(*) AS keys, CAST(sum(n) AS BIGINT) AS spellings, CASE WHEN max(n) >= 2 AND bool_or(i) THEN 'mapped' ELSE 'review' END AS required_disposition FROM p GROUP BY component HAVING count(*) >= 2 OR sum(n) >= 2"""
+)
+def term_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of spellings and variants of one term, with what must become of each."""
+    spelled = cut(terms.surfaces(read_table(spark, d, "documents"), "doc_id", "text").select("surface", "term_key", "identifier"))
+    pairs = terms.variant_pairs(spelled.select(F.col("term_key").alias("key")), "key")
+    return terms.signals(spelled, terms.components(pairs, "left", "right"))
+
+
 @query(
     f"""WITH {q.SEG}, c AS (SELECT DISTINCT correction_id, segment_id, from_text, start_offset, end_offset FROM corrections WHERE start_offset IS NOT NULL AND end_offset IS NOT NULL AND from_text IS NOT NULL)
 SELECT correction_id, substr(text, start_offset + 1, end_offset - start_offset) = from_text AS reads_back FROM c JOIN seg USING (segment_id)"""
