@@ -2,16 +2,21 @@
 
 Token-level repair: every distinct value is brought to its consistent form and
 cut into tokens; tokens that are no part of any name (articles, a trailing
-"service", particles; read off the known aliases) are set aside.  Each distinct
-token, or piece of a value written together or cut at the wrong place, is joined
-to the reference vocabulary by edit distance (transpositions count once) or by
-equal sound; characters that aliases swap count as alike.  The repaired tokens
-are combined by soft TF-IDF, and the best entry is taken if every part of its
-name is there and nothing else is; equal scores go to the lower ``eval_id``.
+"service", particles; read off the known aliases) are set aside.  A value is read
+in several ways: as its tokens stand, and written together and cut anew.
+
+Each distinct token of all readings is joined to the reference vocabulary: by
+edit distance (transpositions count once, characters that aliases swap a third)
+and by equal sound.  Candidates come from a hash join on the rarest characters:
+two strings within the distance share one of them, so none is lost.  The repaired
+tokens of a reading are then joined to the entries that have just these parts,
+and soft TF-IDF over both token bags ranks the entries; equal scores go to the
+lower ``eval_id``.  A value spelled like a known alias means its entry.
 
 Defined results: blank and NULL values give no row; values that mean no entry
-give ``none``; an empty list gives ``none`` for every value; repeated rows count
-once.  The list must fit ``MOST_ENTRIES``; it is checked.
+give ``none``, as do values with a token over three times as long as any part of
+a name; an empty list gives ``none`` for every value; repeated rows count once.
+The list is read by the driver, which learns from it; it has no limit of its own.
 """
 
 from __future__ import annotations
@@ -21,14 +26,14 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.llm.forms import canonical, canonical_form
+from turnmill.runtime import cut
 
-#: The most entries a reference list may have: it is held by every worker.
-MOST_ENTRIES = 50_000
 #: The least likeness of a repaired token, and of a whole name.
 LEAST_TOKEN = 0.55
 LEAST_NAME = 0.65
@@ -82,20 +87,16 @@ class Names:
         heard: Counter[str] = Counter(p for ps in self.parts.values() for p in set(ps))
         n = max(1, len(self.parts))
         self.weight = {p: 1.0 + math.log(n / k) for p, k in heard.items()}
-        self.first: dict[str, set[str]] = defaultdict(set)
-        for e, ps in self.parts.items():
-            self.first["|".join(ps)].add(e)
-        self.by_part: dict[int, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
-        for e, ps in self.parts.items():
-            for k, p in enumerate(ps):
-                self.by_part[k][p].append(e)
         self.alike: frozenset[tuple[str, str]] = frozenset()
         self.noise: set[str] = set()
         self.known: dict[str, str] = {}
         self.heard: dict[tuple[int, str], set[str]] = defaultdict(set)
-        self._memo: dict[tuple[int, str], list[tuple[str, float]]] = {}
         self._learn()
-        self._memo.clear()
+        self.most_parts = max(map(len, self.parts.values()), default=0)
+        self.longest = max((len(p) for ps in self.parts.values() for p in ps), default=0)
+        self.same = self._classes()
+        seen = Counter(x for ps in self.parts.values() for p in ps for x in set(self.plain(p)))
+        self.rank = {x: i for i, (x, _) in enumerate(sorted(seen.items(), key=lambda c: (c[1], c[0])))}
 
     @staticmethod
     def _han_cuts(names: list[str]) -> dict[str, int]:
@@ -144,7 +145,6 @@ class Names:
                     noise[m.group(2)] += 1
         self.alike = frozenset(swaps)
         self.noise = {t for t, k in noise.items() if k > 1}
-        self._memo.clear()
         for e, _, aliases in self.rows:  # spellings by ear that aliases show, part by part
             for alias in aliases or []:
                 ts = [t for t in tokens(alias or "") if t not in self.noise]
@@ -158,37 +158,33 @@ class Names:
         """A value without case, spacing and signs."""
         return "".join(tokens(value))
 
-    def near(self, place: int, token: str) -> list[tuple[str, float]]:
-        """Parts at ``place`` of a name that the token can mean, with their likeness."""
-        got = self._memo.get((place, token))
-        if got is None:
-            if len(self._memo) > 500_000:
-                self._memo.clear()
-            got = []
-            key = sound(token) if token.isascii() else None
-            for part in self.by_part[place]:
-                size = max(len(part), len(token))
-                most = max(1, (1 - LEAST_TOKEN) * size)
-                d = distance(token, part, self.alike, most)
-                like = 1 - d / size if d <= most else 0.0
-                if size <= 2 and like < 0.5:
-                    like = 0.0
-                elif key and len(key) > 1 and key == sound(part) and token[:1] == part[:1]:
-                    like = max(like, 0.78)
-                for form in self.heard.get((place, part), ()):
-                    size = max(len(form), len(token))
-                    d = distance(token, form, most=max(1, 0.3 * size))
-                    like = max(like, 0.95 - d / size) if d <= 0.3 * size else like
-                if like >= (0.5 if not part.isascii() else LEAST_TOKEN):
-                    got.append((part, like))
-            self._memo[place, token] = got
-        return got
-
-    def _score(self, entry: str, likes: tuple[float, ...]) -> float:
-        """Soft TF-IDF of the repaired tokens and the entry's parts."""
-        weights = [self.weight[p] for p in self.parts[entry]]
-        norm = sum(w * w for w in weights)
-        return sum(w * w * x for w, x in zip(weights, likes)) / norm
+    def _classes(self) -> dict[str, str]:
+        """For every character that sounds like others the least of them."""
+        least: dict[str, str] = {}
+        for a, b in sorted(self.alike):
+            x, y = sorted((least.get(a, a), least.get(b, b)))
+            for c in [c for c, v in least.items() if v == y] + [a, b, y]:
+                least[c] = x
+        return least
+
+    def plain(self, token: str) -> str:
+        """The token with characters that sound alike made one."""
+        return "".join(self.same.get(c, c) for c in token)
+
+    def keys(self, token: str) -> list[str]:
+        """The rarest characters of a token, numbered where they repeat: of two strings within the distance, both have one of them.
+
+        The longer of the two keeps at least 0.55 of its characters, so the strings
+        share so many, and one of the others and one more is shared.
+        """
+        seen: Counter[str] = Counter()
+        elements = []
+        for c in self.plain(token):
+            elements.append((self.rank.get(c, -1), c, seen[c]))
+            seen[c] += 1
+        elements.sort()
+        least = max(1, min(len(token) - 1, math.ceil(LEAST_TOKEN * len(token) - 1e-9)))
+        return [f"{c}{k}" for _, c, k in elements[: len(token) - least + 1]]
 
     def _readings(self, ts: list[str]) -> Iterator[tuple[tuple[str, ...], float]]:
         """The ways to read the tokens as the parts of a name, with what each costs: as they stand, or written together and cut anew."""
@@ -224,52 +220,145 @@ class Names:
                 if x in kept[1:-1]:
                     yield [t for t in kept if t != x]
 
-    def resolve(self, value: str) -> str:
-        """The ``eval_id`` that the value means, or ``none``."""
+    def ways(self, value: str) -> Iterator[tuple[int, str, float, tuple[str, ...] | None]]:
+        """``(turn, key, cost, tokens)``: for every way to strip a value its key, then the ways to read it whose tokens can be parts of a name."""
         ts = tokens(value)
-        if not ts:
-            return NONE
-        best: tuple[float, str] | None = None
-        for some in self._stripped(ts):
-            known = self.known.get("".join(some))
-            if known is not None:
-                return known
-            for reading, cost in self._readings(some):
-                options = [self.near(k, t) for k, t in enumerate(reading)]
-                if not all(options):
-                    continue
-                combos = [((), ())]
-                for option in options:
-                    combos = [((*ps, p), (*ls, x)) for ps, ls in combos for p, x in option]
-                for ps, likes in combos:
-                    for e in self.first.get("|".join(ps), ()):
-                        score = self._score(e, likes) - cost
-                        if score + cost >= LEAST_NAME and min(likes) >= 0.5 and (best is None or (-score, e) < (-best[0], best[1])):
-                            best = (score, e)
-        return best[1] if best else NONE
-
-
-def load_names(terms: DataFrame) -> list[tuple[str, str, list[str] | None]]:
-    """The reference list, if it is no longer than ``MOST_ENTRIES``."""
-    rows = [(r[0], r[1], r[2]) for r in terms.select("eval_id", "canonical", "aliases").where("canonical is not null").limit(MOST_ENTRIES + 1).collect()]
-    if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
-    return rows
+        if not ts or len(ts) > 4 * self.most_parts + 8:
+            return
+        for turn, some in enumerate(self._stripped(ts)):
+            yield turn, "".join(some), 0.0, None
+            if len("".join(some)) <= 3 * self.longest * self.most_parts:
+                for reading, cost in dict(reversed([*self._readings(some)])).items():
+                    if len(reading) <= self.most_parts and all(len(t) <= 3 * self.longest for t in reading):
+                        yield turn, "", cost, reading
+
+
+def distances(a: list[str], b: list[str], alike: frozenset[tuple[str, str]] = frozenset()) -> np.ndarray:
+    """:func:`distance` of many pairs at once."""
+    out = np.zeros(len(a))
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    swaps = np.sort(np.array([ord(x) << 21 | ord(y) for x, y in alike], np.int64))
+    for n, m in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes[:, 0] == n) & (sizes[:, 1] == m))
+        if not n or not m:
+            out[at] = n + m
+            continue
+        x = np.array([list(map(ord, a[i])) for i in at], np.int64)
+        y = np.array([list(map(ord, b[i])) for i in at], np.int64)
+        older = before = None
+        row = np.tile(np.arange(m + 1.0), (len(at), 1))
+        for i in range(n):
+            older, before, row = before, row, np.full((len(at), m + 1), i + 1.0)
+            for j in range(m):
+                same = x[:, i] == y[:, j]
+                swap = np.where(same, 0.0, 1.0)
+                if len(swaps):
+                    pair = x[:, i] << 21 | y[:, j]
+                    near = np.minimum(np.searchsorted(swaps, pair), len(swaps) - 1)
+                    swap = np.where(~same & (swaps[near] == pair), 0.34, swap)
+                d = np.minimum(np.minimum(before[:, j + 1], row[:, j]) + 1, before[:, j] + swap)
+                if i and j:
+                    d = np.where((x[:, i] == y[:, j - 1]) & (x[:, i - 1] == y[:, j]) & ~same, np.minimum(d, older[:, j - 1] + 1), d)
+                row[:, j + 1] = d
+        out[at] = row[:, m]
+    return out
+
+
+def likeness(names: Names, pairs: pd.DataFrame) -> np.ndarray:
+    """How much each ``token`` is like the ``part`` that the ``form`` stands for; 0 where it is not."""
+    token, part, form = list(pairs["token"]), list(pairs["part"]), list(pairs["form"])
+    own = np.array([p == f for p, f in zip(part, form)], bool)
+    size = np.array([max(len(t), len(f)) for t, f in zip(token, form)], float)
+    d = np.where(own, 0.0, 0.0)
+    for which, alike in ((own, names.alike), (~own, frozenset())):
+        at = np.flatnonzero(which)
+        d[at] = distances([token[i] for i in at], [form[i] for i in at], alike)
+    like = np.where(own, np.where(d <= np.maximum(1, (1 - LEAST_TOKEN) * size), 1 - d / size, 0.0), np.where(d <= 0.3 * size, 0.95 - d / size, 0.0))
+    like = np.where(own & (size <= 2) & (like < 0.5), 0.0, like)
+    for i in np.flatnonzero(own & (size > 2)):
+        t, p = token[i], part[i]
+        if t.isascii() and t[:1] == p[:1] and len(sound(t)) > 1 and sound(t) == sound(p):
+            like[i] = max(like[i], 0.78)
+    return np.where(like >= np.array([LEAST_TOKEN if p.isascii() else 0.5 for p in part]), like, 0.0)
+
+
+def load_names(terms: DataFrame) -> Names:
+    """The reference list and what it teaches."""
+    return Names([(r[0], r[1], r[2]) for r in terms.select("eval_id", "canonical", "aliases").where("canonical is not null").collect()])
+
+
+def _vocabulary(names: Names) -> list[tuple[int, str, str]]:
+    """``(place, part, form)``: every part of a name, at its place, as it is spelled or heard."""
+    parts = {(k, p) for ps in names.parts.values() for k, p in enumerate(ps)}
+    return sorted({(k, p, p) for k, p in parts} | {(k, p, f) for (k, p), forms in names.heard.items() if (k, p) in parts for f in forms})
 
 
 def map_values(values: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     """Each distinct non-blank value of ``column`` with the ``eval_id`` it means."""
-    shared = values.sparkSession.sparkContext.broadcast(load_names(terms))
+    spark = values.sparkSession
+    names = load_names(terms)
+    shared = spark.sparkContext.broadcast(names)
     distinct = values.select(F.col(f"`{column}`").alias("value")).where(F.col("value").rlike(r"\S")).distinct()
     # the values are few bytes but much work: spread them over all cores, which sizes alone would not
-    distinct = distinct.repartition(values.sparkSession.sparkContext.defaultParallelism, "value")
+    cores = spark.sparkContext.defaultParallelism
+    distinct = distinct.repartition(cores, "value")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = Names(shared.value)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(v, n, turn, key, cost, list(ts) if ts else None) for v in batch["value"] for n, (turn, key, cost, ts) in enumerate(shared.value.ways(v))]
+            yield pd.DataFrame(rows, columns=["value", "way", "turn", "key", "cost", "tokens"])
+
+    ways = cut(distinct.mapInPandas(read, "value string, way int, turn int, key string, cost double, tokens array<string>"))
+    known = spark.createDataFrame(sorted(names.known.items()), "key string, eval_id string")
+    told = ways.where("tokens is null").join(known, "key").groupBy("value").agg(F.min_by("eval_id", "turn").alias("told"))
+
+    readings = ways.where("tokens is not null").select("value", "way", "cost", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
+    matches = cut(_matches(readings.select("place", "token").distinct().repartition(cores, "token"), names, shared))
+    # the readings all of whose tokens are repaired, with every choice of parts
+    whole = (
+        readings.join(matches, ["place", "token"])
+        .groupBy("value", "way", "cost", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "parts"))).alias("m"))
+        .where(F.size("m") == F.col("n"))
+    )
+    chosen = "struct(concat(a.parts, if(a.parts = '', '', '|'), x.part) as parts, concat(a.likes, array(x.like)) as likes)"
+    start = "array(struct('' as parts, cast(array() as array<double>) as likes))"
+    choices = whole.select("value", "cost", F.explode(F.expr(f"aggregate(m, {start}, (acc, p) -> flatten(transform(acc, a -> transform(p.parts, x -> {chosen}))))")).alias("c"))
+    weights = sorted((e, "|".join(ps), [float(names.weight[p]) for p in ps]) for e, ps in names.parts.items() if ps)
+    entries = spark.createDataFrame(weights, "eval_id string, parts string, w array<double>")
+    # soft TF-IDF: a repaired token weighs in the value what its part weighs in the name
+    square = "aggregate(w, 0D, (s, x) -> s + x * x)"
+    score = F.expr(f"aggregate(zip_with(w, c.likes, (x, l) -> x * x * l), 0D, (s, x) -> s + x) / (sqrt({square}) * sqrt({square}))")
+    ranked = choices.join(entries, choices["c.parts"] == entries["parts"]).withColumn("score", score).where((F.col("score") >= LEAST_NAME) & (F.array_min("c.likes") >= 0.5))
+    best = ranked.groupBy("value").agg(F.min_by("eval_id", F.struct((F.col("cost") - F.col("score")).alias("s"), "eval_id")).alias("best"))
+    out = distinct.join(told, "value", "left").join(best, "value", "left")
+    return out.select("value", F.coalesce("told", "best", F.lit(NONE)).alias("eval_id"))
+
+
+def _matches(wanted: DataFrame, names: Names, shared) -> DataFrame:
+    """``(place, token, parts)``: the parts that each token can mean at its place, with their likeness."""
+    spark = wanted.sparkSession
+
+    def keyed(column: str):
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                keys = [[*shared.value.keys(t), *([f"~{t[0]}{sound(t)}"] if t.isascii() and len(sound(t)) > 1 else [])] for t in batch[column]]
+                yield batch.assign(keys=keys)
+
+        return work
+
+    vocabulary = spark.createDataFrame(_vocabulary(names), "place int, part string, form string")
+    own = vocabulary.mapInPandas(keyed("form"), "place int, part string, form string, keys array<string>").select("place", "part", "form", F.explode("keys").alias("key"))
+    ours = wanted.mapInPandas(keyed("token"), "place int, token string, keys array<string>").select("place", "token", F.explode("keys").alias("key"))
+    pairs = ours.join(own, ["place", "key"]).where((F.char_length("token") <= 2 * F.char_length("form") + 2) & (F.char_length("form") <= 2 * F.char_length("token") + 2)).select("place", "token", "part", "form").distinct()
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"value": batch["value"], "eval_id": [names.resolve(v) for v in batch["value"]]})
+            got = batch.assign(like=likeness(shared.value, batch))
+            yield got.loc[got["like"] > 0, ["place", "token", "part", "like"]]
 
-    return distinct.mapInPandas(work, "value string, eval_id string")
+    liked = pairs.mapInPandas(judge, "place int, token string, part string, like double").groupBy("place", "token", "part").agg(F.max("like").alias("like"))
+    return liked.groupBy("place", "token").agg(F.array_sort(F.collect_list(F.struct("part", "like"))).alias("parts"))
 
 
 def found_terms(corrections: DataFrame, terms: DataFrame) -> DataFrame:
