@@ -14,12 +14,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set, as in tests."""
+    """The shared folder the cluster names; a local one only on one machine where none is set, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         given = "file://" + os.path.join(tempfile.gettempdir(), "turnmill-checkpoints")
     spark.sparkContext.setCheckpointDir(given)
     return given
