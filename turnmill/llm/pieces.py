@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT = 800
@@ -123,6 +123,19 @@ def split_long(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     return out.withColumnRenamed("key", key)
 
 
+def rejoined(pieces: DataFrame, key: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """``(key, text, fits)``: the texts that the pieces make up again, and whether each keeps the limit and begins with the end of the one before."""
+    order = Window.partitionBy(key).orderBy("piece_no")
+    before = F.lag("piece").over(order)
+    shared = F.when(before.isNull(), 0).otherwise(F.lag("end_offset").over(order) - F.col("start_offset"))
+    p = pieces.withColumn("before_", before).withColumn("shared_", shared)
+    good = (F.char_length("piece") <= limit) & (F.col("before_").isNull() | ((F.col("shared_") == overlap) & (F.substring(F.col("piece"), F.lit(1), F.col("shared_")) == F.expr("right(before_, shared_)"))))
+    fresh = F.substring(F.col("piece"), F.col("shared_") + 1, F.char_length("piece"))
+    # the pieces of one text, which is one row's own size
+    joined = p.select(key, good.alias("good_"), F.struct("piece_no", fresh.alias("t")).alias("x_")).groupBy(key).agg(F.array_sort(F.collect_list("x_")).alias("x_"), F.min("good_").alias("fits"))
+    return joined.select(key, F.array_join(F.transform("x_", lambda x: x["t"]), "").alias("text"), "fits")
+
+
 def found_long(segments: DataFrame) -> DataFrame:
     """The segments that had to be split."""
     return split_long(segments, "segment_id", "text").where("piece_no = 1").select("segment_id").distinct()

@@ -27,6 +27,11 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_long(read_table(spark, sf_dir, "segments"), "segment_id", "text")
 
 
+def p2_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long texts as their pieces make them up again, and whether the pieces keep the limit and the overlap."""
+    return pieces.rejoined(p2_pieces(spark, sf_dir), "segment_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.found_terms(read_table(spark, sf_dir, "corrections"), read_table(spark, sf_dir, "terminology_eval"))
 
@@ -77,9 +82,10 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p4_found, p4_redacted, p5_found, p5_turns, p5_withheld, p7_ids, p7_decoded, p8_found, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_pieces, p2_rejoined, p3_found, p4_found, p4_redacted, p5_found, p5_turns, p5_withheld, p7_ids, p7_decoded, p8_found, p9_found, p9_statistics)}
 
 ORACLE = {
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p2_rejoined": "SELECT DISTINCT segment_id, text, true AS fits FROM segments WHERE length(text) > 800",
     "p2_found": "SELECT DISTINCT segment_id FROM segments WHERE length(text) > 800",
 }
