@@ -211,8 +211,8 @@ def encode_corpus(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(folder, name)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
                 ids, ends = v.encode(some.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(arrow_key), lists], ["key", "ids"])
