@@ -658,7 +658,11 @@ def consensus_mapping(spark: SparkSession, d: str) -> DataFrame:
 # ---- ledgers (L3, L5 to L9, C14, C17) ------------------------------------------------------
 
 
-@query()
+@query(
+    f"""WITH {q.SEG}, c AS (SELECT DISTINCT segment_id, start_offset AS s, end_offset AS e, from_text AS f, to_text AS t FROM corrections WHERE status = 'applied' AND start_offset IS NOT NULL AND end_offset IS NOT NULL AND from_text IS NOT NULL AND to_text IS NOT NULL),
+j AS (SELECT c.*, text, max(e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, 0 <= s AND s < e AND e <= length(text) AND substr(text, s + 1, e - s) = f AS reads FROM c JOIN seg USING (segment_id) WINDOW w AS (PARTITION BY segment_id ORDER BY s, e, f, t))
+SELECT segment_id, CASE WHEN bool_and(coalesce(reads, false) AND coalesce(s >= before, true)) THEN string_agg(substr(text, CAST(coalesce(before, 0) AS BIGINT) + 1, CAST(s - coalesce(before, 0) AS BIGINT)) || t, '' ORDER BY s, e) || substr(any_value(text), CAST(max(e) AS BIGINT) + 1) END AS text FROM j GROUP BY segment_id"""
+)
 def corrected_texts(spark: SparkSession, d: str) -> DataFrame:
     """Applied corrections that read back replayed onto their segments; where two overlap, none is."""
     c = read_table(spark, d, "corrections").where("status = 'applied' and start_offset is not null and end_offset is not null and from_text is not null and to_text is not null")
@@ -768,7 +772,7 @@ def tombstone_anti(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH k AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, recording_id) AS r FROM meetings WHERE recording_id NOT IN (SELECT recording_id FROM tombstones))
-SELECT recording_id, CAST(r AS INT) AS place, CASE WHEN status IN ('recording', 'processing', 'transcribing') THEN 'error' ELSE status END AS status FROM k WHERE r <= 40"""
+SELECT recording_id, CAST(r AS INT) AS place, CASE WHEN status IN ('transcribing', 'correcting', 'summarizing') THEN 'error' ELSE status END AS status FROM k WHERE r <= 40"""
 )
 def newest_records(spark: SparkSession, d: str) -> DataFrame:
     """The newest 40 records (the list's length is the feature), those in flight as errors.
@@ -778,7 +782,7 @@ def newest_records(spark: SparkSession, d: str) -> DataFrame:
     live = read_table(spark, d, "meetings").join(read_table(spark, d, "tombstones"), "recording_id", "left_anti")
     top = live.orderBy(F.desc("created_at"), "recording_id").limit(40)
     place = F.row_number().over(Window.orderBy(F.desc("created_at"), "recording_id"))
-    return top.select("recording_id", place.alias("place"), F.when(F.col("status").isin("recording", "processing", "transcribing"), "error").otherwise(F.col("status")).alias("status"))
+    return top.select("recording_id", place.alias("place"), F.when(F.col("status").isin("transcribing", "correcting", "summarizing"), "error").otherwise(F.col("status")).alias("status"))
 
 
 @query("SELECT recording_id, 'pending' AS state FROM meetings WHERE status = 'error' AND recording_id NOT IN (SELECT recording_id FROM tombstones) UNION ALL SELECT DISTINCT recording_id, state FROM tombstones")

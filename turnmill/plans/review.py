@@ -206,6 +206,126 @@ def summary_lines(spark: SparkSession, d: str) -> DataFrame:
     return patches.thinned(lines, SESSION, "pos", F.col("size"), 4000).select(*SESSION, "pos", "rounds")
 
 
+@query(
+    f"""WITH {q.NORM}, {_CLAIMS}, {_GROUNDED}, v AS (SELECT gr.*, {q.comparable('speaker')} AS sk, quote FROM gr JOIN (SELECT DISTINCT claim_id, quote FROM cl) USING (claim_id)),
+u AS (SELECT *, row_number() OVER (PARTITION BY recording_id, sk, a, qq ORDER BY claim_id) AS k FROM v), n AS (SELECT *, row_number() OVER (PARTITION BY recording_id, sk ORDER BY claim_id) AS i FROM u WHERE k = 1),
+g AS (SELECT recording_id, sk, arg_min(speaker, claim_id) AS speaker, min(claim_id) AS o, count(*) AS points, string_agg({q.trim('quote')}, '；' ORDER BY i) AS joined FROM n WHERE i <= 12 GROUP BY ALL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY o) AS place FROM g) SELECT recording_id, CAST(place AS INT) AS place, speaker, points, CASE WHEN length(joined) > 1200 THEN substr(joined, 1, 1199) || '…' ELSE joined END AS summary FROM pl WHERE place <= 30"""
+)
+def verified_speaker_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What each speaker of a recording says for certain: twelve distinct quotes a speaker, thirty speakers (the report's size is the feature)."""
+    quotes = _ledger(spark, d).select(F.col("correction_id").alias("claim_id"), tx.js_trim(F.col("from_text")).alias("quote")).dropDuplicates(["claim_id"])
+    said = _grounded(spark, d).join(quotes, "claim_id").withColumn("sk", tx.comparable_text(F.col("speaker")))
+    own = patches.first_use(said, ["recording_id", "sk", "a", "qq"], ["claim_id"])
+    twelve = own.withColumn("i_", F.row_number().over(Window.partitionBy("recording_id", "sk").orderBy("claim_id"))).where("i_ <= 12")
+    groups = twelve.groupBy("recording_id", "sk").agg(
+        F.min_by("speaker", "claim_id").alias("speaker"), F.min("claim_id").alias("o_"), F.count("*").alias("points"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i_", "quote"))), lambda x: x["quote"]), "；").alias("joined"),
+    )
+    ranked = groups.withColumn("place", F.row_number().over(Window.partitionBy("recording_id").orderBy("o_"))).where("place <= 30")
+    return ranked.select("recording_id", "place", "speaker", "points", tx.truncate_text(F.col("joined"), 1200).alias("summary"))
+
+
+@query("SELECT segment_id, count(*) AS accepted, string_agg(from_text || '→' || to_text, '、' ORDER BY correction_id) AS changes FROM (SELECT DISTINCT correction_id, segment_id, from_text, to_text FROM corrections WHERE status = 'applied') GROUP BY segment_id")
+def corrections_by_segment(spark: SparkSession, d: str) -> DataFrame:
+    """The applied corrections of each segment, in order."""
+    c = _ledger(spark, d).where("status = 'applied'").select("segment_id", "correction_id", F.concat("from_text", F.lit("→"), "to_text").alias("c")).distinct()
+    return c.groupBy("segment_id").agg(F.count("*").alias("accepted"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("correction_id", "c"))), lambda x: x["c"]), "、").alias("changes")).withColumn("changes", F.nullif("changes", F.lit("")))
+
+
+@query("WITH a AS (SELECT DISTINCT segment_id, speaker, text FROM segments), c AS (SELECT segment_id, string_agg(from_text, ' ' ORDER BY correction_id) AS sources FROM (SELECT DISTINCT correction_id, segment_id, from_text FROM corrections WHERE from_text <> '') GROUP BY 1) SELECT segment_id, lower(coalesce(speaker, '') || ' ' || coalesce(text, '') || ' ' || coalesce(sources, '')) AS search_text FROM a LEFT JOIN c USING (segment_id)")
+def search_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What a segment is searched by: its speaker, its text and what stood there before it was corrected."""
+    a = read_table(spark, d, "segments").select("segment_id", "speaker", "text").distinct()
+    c = _ledger(spark, d).where("from_text != ''").select("segment_id", "correction_id", "from_text").distinct()
+    c = c.groupBy("segment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("correction_id", "from_text"))), lambda x: x["from_text"]), " ").alias("sources"))
+    none = F.lit("")
+    return a.join(c, "segment_id", "left").select("segment_id", F.lower(F.concat_ws(" ", F.coalesce("speaker", none), F.coalesce("text", none), F.coalesce("sources", none))).alias("search_text"))
+
+
+@query(f"SELECT DISTINCT eval_id, {q.alias_key('alias')} || '=>' || {q.trim(q.nfkc('canonical'))} AS mapping_key FROM (SELECT eval_id, canonical, unnest(aliases) AS alias FROM terminology_eval)")
+def mapping_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The key of every mapping of an alias."""
+    t = read_table(spark, d, "terminology_eval").select("eval_id", "canonical", F.explode("aliases").alias("alias"))
+    return t.select("eval_id", F.concat(tx.mapping_alias_key(F.col("alias")), F.lit("=>"), tx.spelling_key(F.col("canonical"))).alias("mapping_key")).distinct()
+
+
+_PARTS = f"list_filter(list_transform(regexp_split_to_array(coalesce(summary, ''), '[、,，;；\n]+'), lambda x: {q.trim('x')}), lambda x: x <> '')"
+
+
+@query(f"WITH p AS (SELECT recording_id, unnest({_PARTS}) AS name, unnest(range(1, len({_PARTS}) + 1)) AS i FROM meetings), d AS (SELECT recording_id, name, min(i) AS i FROM p GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY i) AS place FROM d) SELECT recording_id, CAST(place AS INT) AS place, name FROM n WHERE place <= 20")
+def split_names(spark: SparkSession, d: str) -> DataFrame:
+    """A typed list cut into its distinct names, twenty at most (the list's length is the feature)."""
+    parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("summary", F.lit("")), r"[、,，;；\n]+"), tx.js_trim), lambda x: x != ""))
+    rows = read_table(spark, d, "meetings").select("recording_id", F.posexplode(F.slice(parts, 1, 20)).alias("p_", "name"))
+    return rows.select("recording_id", (F.col("p_") + 1).alias("place"), "name")
+
+
+@query(f"SELECT recording_id, substr(coalesce(nullif({q.trim('m.summary')}, ''), coalesce(s.joined, '')), 1, 1200) AS review FROM meetings m LEFT JOIN (SELECT recording_id, string_agg(t, ' ' ORDER BY session_no, pos) AS joined FROM (SELECT recording_id, session_no, seg_idx AS pos, {q.trim('text')} AS t, row_number() OVER (PARTITION BY recording_id ORDER BY session_no, seg_idx, segment_id, text) AS k FROM (SELECT DISTINCT recording_id, session_no, seg_idx, segment_id, text FROM segments WHERE {q.trim('text')} <> '')) WHERE k <= 1200 GROUP BY 1) s USING (recording_id)")
+def review_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What a review says of a recording: its summary or else its texts, 1,200 characters of it.
+
+    Every text has a character and is followed by a space, so no more than 1,200 texts are ever joined.
+    """
+    s = read_table(spark, d, "segments").select("recording_id", "session_no", "seg_idx", "segment_id", "text").distinct().withColumn("t", tx.js_trim(F.col("text"))).where("t != ''")
+    first = s.withColumn("k_", F.row_number().over(Window.partitionBy("recording_id").orderBy("session_no", "seg_idx", "segment_id", "text"))).where("k_ <= 1200")
+    joined = first.groupBy("recording_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k_", "t"))), lambda x: x["t"]), " ").alias("joined"))
+    m = read_table(spark, d, "meetings").select("recording_id", tx.js_trim(F.col("summary")).alias("direct")).join(joined, "recording_id", "left")
+    return m.select("recording_id", F.substring(F.coalesce(F.nullif("direct", F.lit("")), F.col("joined"), F.lit("")), 1, 1200).alias("review"))
+
+
+# ---- records (S12, S15, K16, K20, U4) ------------------------------------------------------
+
+
+@query("SELECT recording_id, title, status, duration_seconds FROM meetings WHERE recording_id = 'rec-hot-0001'")
+def one_record(spark: SparkSession, d: str) -> DataFrame:
+    """One recording by its id; the filter reaches the scan."""
+    return read_table(spark, d, "meetings").where("recording_id = 'rec-hot-0001'").select("recording_id", "title", "status", "duration_seconds")
+
+
+@query("SELECT segment_id, epoch_us(max(ingested_at)) AS ingested_us, count(*) AS copies FROM segments GROUP BY segment_id")
+def latest_copies(spark: SparkSession, d: str) -> DataFrame:
+    """The latest copy of every stored segment, and how many there are."""
+    return read_table(spark, d, "segments").groupBy("segment_id").agg(F.unix_micros(F.max("ingested_at")).alias("ingested_us"), F.count("*").alias("copies"))
+
+
+@query("WITH l AS (SELECT recording_id, row_number() OVER (ORDER BY created_at DESC, recording_id) AS r FROM meetings WHERE recording_id NOT IN (SELECT recording_id FROM tombstones)) SELECT recording_id, 'deleted' AS state FROM l WHERE r > 40 UNION SELECT recording_id, state FROM tombstones")
+def evicted_records(spark: SparkSession, d: str) -> DataFrame:
+    """The tombstones after a list of the newest 40 records (the list's length is the feature) is saved: those there, and the records that no longer fit."""
+    stones = read_table(spark, d, "tombstones").select("recording_id", "state")
+    live = read_table(spark, d, "meetings").join(stones, "recording_id", "left_anti").select("recording_id", "created_at")
+    kept = live.orderBy(F.desc("created_at"), "recording_id").limit(40).select("recording_id")
+    return live.join(kept, "recording_id", "left_anti").select("recording_id", F.lit("deleted").alias("state")).unionByName(stones).distinct()
+
+
+_ROW = "md5(concat_ws('|', CAST(segment_id AS VARCHAR), coalesce(CAST(CAST(floor(start_seconds * 1000 + 0.5) AS BIGINT) AS VARCHAR), '-'), coalesce(CAST(CAST(floor(end_seconds * 1000 + 0.5) AS BIGINT) AS VARCHAR), '-'), coalesce(speaker, '-'), coalesce(text, '-'), CASE WHEN join_next THEN '1' ELSE '0' END))"
+
+
+@query(
+    f"""WITH f AS (SELECT *, {_ROW} AS h FROM (SELECT DISTINCT segment_id, recording_id, session_no, start_seconds, end_seconds, speaker, text, join_next FROM segments)), g AS (SELECT *, {_ROW} AS h FROM (SELECT DISTINCT segment_id, recording_id, session_no, start_seconds, end_seconds, speaker, text, join_next FROM segments WHERE ingested_at IS NOT NULL)),
+a AS (SELECT recording_id, session_no, segment_id // 1000 AS part, md5(string_agg(h, '' ORDER BY segment_id, h)) AS p FROM f GROUP BY ALL), b AS (SELECT recording_id, session_no, segment_id // 1000 AS part, md5(string_agg(h, '' ORDER BY segment_id, h)) AS p FROM g GROUP BY ALL),
+x AS (SELECT recording_id, session_no, md5(string_agg(p, '' ORDER BY part)) AS s FROM a GROUP BY ALL), y AS (SELECT recording_id, session_no, md5(string_agg(p, '' ORDER BY part)) AS s FROM b GROUP BY ALL)
+SELECT recording_id, session_no, x.s AS signature, coalesce(x.s = y.s, false) AS commits FROM x LEFT JOIN y USING (recording_id, session_no)"""
+)
+def signature_guard(spark: SparkSession, d: str) -> DataFrame:
+    """U4: whether a result derived from the timed deliveries of a session may be committed: the content's signature is still the same.
+
+    A signature is that of the signatures of parts of a thousand ids, so no row holds a whole hot session.
+    """
+    ms = lambda c: F.coalesce(F.floor(F.col(c) * 1000 + 0.5).cast("bigint").cast("string"), F.lit("-"))
+    h = F.md5(F.concat_ws("|", F.col("segment_id").cast("string"), ms("start_seconds"), ms("end_seconds"), F.coalesce("speaker", F.lit("-")), F.coalesce("text", F.lit("-")), F.when(F.col("join_next"), "1").otherwise("0")))
+
+    def signed(rows: DataFrame, name: str) -> DataFrame:
+        one = rows.select("segment_id", *SESSION, "start_seconds", "end_seconds", "speaker", "text", "join_next").distinct().select("segment_id", *SESSION, h.alias("h"))
+        in_order = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), "")
+        parts = one.groupBy(*SESSION, F.floor(F.col("segment_id") / 1000).alias("part")).agg(F.md5(in_order("segment_id", "h")).alias("p"))
+        return parts.groupBy(*SESSION).agg(F.md5(in_order("part", "p")).alias(name))
+
+    s = read_table(spark, d, "segments")
+    j = signed(s, "signature").join(signed(s.where("ingested_at is not null"), "then_"), SESSION, "left")
+    return j.select(*SESSION, "signature", F.coalesce(F.col("signature") == F.col("then_"), F.lit(False)).alias("commits"))
+
+
 # ---- admission (A38, C61, S25, S26) --------------------------------------------------------
 
 
