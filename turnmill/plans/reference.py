@@ -678,7 +678,7 @@ SELECT""".replace(",\nSELECT", "\nSELECT")
     + """ correction_id, CASE WHEN from_text IS NULL OR from_text = '' OR to_text IS NULL OR to_text = '' THEN 'invalid_replacement' WHEN length(k) < 2 THEN 'unknown_canonical' WHEN start_offset IS NULL THEN 'from_not_found' WHEN status <> 'applied' THEN coalesce(reason, 'rejected') ELSE 'accepted' END AS verdict FROM c"""
 )
 def patch_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """The first reason that speaks against each proposal, in the order of the tests."""
+    """What the ledger's own columns say of each proposal; ``applied_patches`` derives the reasons."""
     c = read_table(spark, d, "corrections").select("correction_id", "status", "reason", "from_text", "to_text", "start_offset").distinct()
     blank = lambda n: F.col(n).isNull() | (F.col(n) == "")
     verdict = (
@@ -991,7 +991,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY prio, n) A
 SELECT recording_id, kind || '-' || n AS id, correction_id, CAST(place AS INT) AS place FROM t WHERE place <= 400"""
 )
 def evidence_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Entries numbered by kind, in order of priority, under the ledger's caps (caps are the feature)."""
+    """Entries numbered by kind, in order of priority, under the ledger's caps (caps are the feature)."""
     c = read_table(spark, d, "corrections").select("correction_id", "recording_id", "status", "reason").distinct()
     kind = F.when(F.col("status") == "applied", "decision").when(F.col("status") == "rejected", "highlight").otherwise("action")
     r = c.withColumn("kind", kind).withColumn("n", F.row_number().over(Window.partitionBy("recording_id", "kind").orderBy("correction_id")))
@@ -1021,7 +1021,7 @@ def authority_lookup(spark: SparkSession, d: str) -> DataFrame:
 SELECT m.recording_id, coalesce(c.n, 0) AS corrections, coalesce(len(s.want), 0) AS labels, c.n IS NULL AS untouched FROM meetings m LEFT JOIN c USING (recording_id) LEFT JOIN s USING (recording_id)"""
 )
 def competency_join(spark: SparkSession, d: str) -> DataFrame:
-    """What was asked for, in order, beside what was found."""
+    """How many corrections and labels each recording has; recordings without any are kept."""
     m = read_table(spark, d, "meetings").select("recording_id")
     s = read_table(spark, d, "segments").where("speaker is not null").groupBy("recording_id").agg(F.countDistinct("speaker").alias("labels"))
     c = read_table(spark, d, "corrections").groupBy("recording_id").agg(F.countDistinct("correction_id").alias("n"))

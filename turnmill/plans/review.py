@@ -162,17 +162,30 @@ def interview_report(spark: SparkSession, d: str) -> DataFrame:
     return j.select("recording_id", "eval_id", F.coalesce("n", F.lit(0)).alias("evidence"), F.when(F.col("n").isNull(), "insufficient").otherwise("mixed").alias("rating"))
 
 
-@query()
-def verified_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """What a recording decided: segments that read like a decision, said once, numbered; the first 30 (the report's length is the feature)."""
+def _said_by_kind(spark: SparkSession, d: str, test, kind: str, most: int) -> DataFrame:
+    """The segments of a recording that pass a test of their text and are said once, numbered, the first ``most``."""
     norm = timeline.normalized(read_table(spark, d, "segments"))
-    like = norm.where(lx.decision(F.col("text")))
+    like = norm.where(test(F.col("text")))
     claims = like.select(F.col("segment_id").alias("claim_id"), *SESSION, F.col("start_seconds").alias("at_seconds"), F.col("text").alias("quote"), F.lit("").alias("speaker_hint"))
-    said = evidence.ground(claims, norm).join(norm.select("segment_id", "recording_id", "session_no", "text", tx.seconds_or_zero(F.col("start_seconds")).alias("a")), "segment_id")
+    said = evidence.ground(claims, norm).drop("pos").join(norm.select("segment_id", *SESSION, "pos", "text", tx.seconds_or_zero(F.col("start_seconds")).alias("a")), "segment_id")
     said = said.withColumn("qq", tx.comparable_text(F.col("text"))).where("char_length(qq) >= 2")
-    once = patches.first_use(said, ["recording_id", "session_no", "a", "qq"], ["pos", "segment_id"])
-    ranked = once.withColumn("n_", F.row_number().over(Window.partitionBy("recording_id").orderBy("session_no", "pos", "segment_id"))).where("n_ <= 30")
-    return ranked.select("recording_id", F.concat(F.lit("decision-"), "n_").alias("id"), "segment_id", "a")
+    once = patches.first_use(said, [*SESSION, "a", "qq"], ["pos", "segment_id"])
+    ranked = once.withColumn("n_", F.row_number().over(Window.partitionBy("recording_id").orderBy("session_no", "pos", "segment_id"))).where(F.col("n_") <= most)
+    return ranked.select("recording_id", F.concat(F.lit(f"{kind}-"), "n_").alias("id"), "segment_id", "a")
+
+
+@query()
+def verified_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What a recording decided: segments that read like a decision, said once, numbered; the first 30 (the report's length is the feature)."""
+    return _said_by_kind(spark, d, lx.decision, "decision", 30)
+
+
+@query()
+def meeting_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The evidence of a recording, each entry said where it claims and numbered by kind: sixty actions, thirty decisions, twenty highlights (the ledger's size is the feature)."""
+    actions = _said_by_kind(spark, d, lx.affirmative_action, "action", 60)
+    highlights = verified_highlights(spark, d).select("recording_id", F.concat(F.lit("highlight-"), "place").alias("id"), "segment_id")
+    return actions.drop("a").unionByName(verified_decisions(spark, d).drop("a")).unionByName(highlights)
 
 
 _T = q.trim("coalesce(text, '')")
