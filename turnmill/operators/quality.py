@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnmill.functions import text as tx
 
@@ -20,7 +21,7 @@ LEAST_DENSITY_TOKENS = 120
 MOST_TOKENS_PER_SECOND = 12
 
 
-@F.pandas_udf("analyzed_ngram_count bigint, repeated bigint, max_ngram_occurrences bigint")
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("analyzed_ngram_count", "repeated", "max_ngram_occurrences")]))
 def _gram_counts(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:

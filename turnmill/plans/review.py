@@ -296,10 +296,10 @@ def one_record(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "meetings").where("recording_id = 'rec-hot-0001'").select("recording_id", "title", "status", "duration_seconds")
 
 
-@query("SELECT segment_id, epoch_us(max(ingested_at)) AS ingested_us, count(*) AS copies FROM segments GROUP BY segment_id")
+@query("SELECT segment_id, coalesce(epoch_us(max(ingested_at)), -1) AS ingested_us, count(*) AS copies FROM segments GROUP BY segment_id")
 def latest_copies(spark: SparkSession, d: str) -> DataFrame:
     """The latest copy of every stored segment, and how many there are."""
-    return read_table(spark, d, "segments").groupBy("segment_id").agg(F.unix_micros(F.max("ingested_at")).alias("ingested_us"), F.count("*").alias("copies"))
+    return read_table(spark, d, "segments").groupBy("segment_id").agg(F.coalesce(F.unix_micros(F.max("ingested_at")), F.lit(-1)).alias("ingested_us"), F.count("*").alias("copies"))
 
 
 @query("WITH l AS (SELECT recording_id, row_number() OVER (ORDER BY created_at DESC, recording_id) AS r FROM meetings WHERE recording_id NOT IN (SELECT recording_id FROM tombstones)) SELECT recording_id, 'deleted' AS state FROM l WHERE r > 40 UNION SELECT recording_id, state FROM tombstones")
