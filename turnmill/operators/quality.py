@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,14 +25,23 @@ LEAST_DENSITY_TOKENS = 120
 MOST_TOKENS_PER_SECOND = 12
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("analyzed_ngram_count", "repeated", "max_ngram_occurrences")]))
+@cache
+def _kept() -> np.ndarray:
+    """Which code points a term key keeps: all but white space, punctuation and symbols."""
+    space = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), tx.S))
+    return np.array([not (unicodedata.category(ch)[0] in "PS" or space.match(ch)) for ch in map(chr, range(0x110000))])
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("analyzed_character_count", "analyzed_ngram_count", "repeated", "max_ngram_occurrences")]))
 def _gram_counts(texts: pd.Series) -> pd.DataFrame:
-    rows = []
+    rows, kept = [], _kept()
     for text in texts:
-        codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        key = unicodedata.normalize("NFKC", text or "").lower()
+        codes = np.frombuffer(key.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = codes[kept[codes]].astype(np.uint64)
         n = len(codes) - GRAM + 1
         if n <= 0:
-            rows.append((0, 0, 0))
+            rows.append((len(codes), 0, 0, 0))
             continue
         low, high = codes[:n], codes[GRAM // 2 : GRAM // 2 + n]  # a code point has 21 bits: three to a word
         for i in range(1, GRAM // 2):
@@ -37,8 +50,8 @@ def _gram_counts(texts: pd.Series) -> pd.DataFrame:
         low, high = low[order], high[order]
         edges = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True]]))
         counts = np.diff(edges)
-        rows.append((n, int(counts[counts >= 3].sum()), int(counts.max())))
-    return pd.DataFrame(rows, columns=["analyzed_ngram_count", "repeated", "max_ngram_occurrences"])
+        rows.append((len(codes), n, int(counts[counts >= 3].sum()), int(counts.max())))
+    return pd.DataFrame(rows, columns=["analyzed_character_count", "analyzed_ngram_count", "repeated", "max_ngram_occurrences"])
 
 
 def repetition(df: DataFrame, text: str) -> DataFrame:
@@ -46,10 +59,9 @@ def repetition(df: DataFrame, text: str) -> DataFrame:
 
     Every row is measured where it is: nothing is shuffled, and no gram is left out.
     """
-    key = tx.term_key(F.col(text))
-    rows = df.withColumn("t_", key).withColumn("g_", _gram_counts(F.col("t_")))
+    rows = df.withColumn("g_", _gram_counts(F.col(text)))
     ratio = F.when(F.col("g_.analyzed_ngram_count") > 0, F.col("g_.repeated") / F.col("g_.analyzed_ngram_count")).otherwise(0.0)
-    return rows.select(*df.columns, F.char_length("t_").alias("analyzed_character_count"), "g_.analyzed_ngram_count", ratio.alias("repeated_ngram_ratio"), "g_.max_ngram_occurrences")
+    return rows.select(*df.columns, "g_.analyzed_character_count", "g_.analyzed_ngram_count", ratio.alias("repeated_ngram_ratio"), "g_.max_ngram_occurrences")
 
 
 def reasons(characters: Column, duration: Column, tokens: Column, analyzed: Column, ratio: Column, most: Column) -> Column:
