@@ -130,6 +130,14 @@ def test_variants_against_all_pairs(spark):
         for _ in range(3):
             i = some.randrange(1, len(base))
             words.add(base[:i] + some.choice(["", "x", "yz"]) + base[i + some.choice([0, 1, 2]) :])
+    for n in (29, 30, 31, 32, 33, 34, 35, 60, 200):  # about and beyond the longest that are cut into segments
+        base = "".join(some.choices("abcdefgh", k=n))
+        for _ in range(5):
+            w = base
+            for _ in range(some.randrange(1, max(2, n // 5))):
+                i = some.randrange(1, len(w))
+                w = w[:i] + some.choice("abxy") + w[i + 1 :]
+            words |= {base, w, w[: n - 1], w + "q"}
     want = {(a, b) for a in words for b in words if a < b and a[0] == b[0] and abs(len(a) - len(b)) < 3 and a not in b and b not in a and _edits(a, b) <= max(1, max(len(a), len(b)) // 4)}
     df = spark.createDataFrame([(w,) for w in [*words, *list(words)[:9], "", None]], "key string")
     got = [tuple(r) for r in terms.variant_pairs(df, "key").collect()]
@@ -161,3 +169,28 @@ def test_grams_are_counted_in_their_row(spark):
         c = Counter(t[i : i + 6] for i in range(len(t) - 5))
         n = sum(c.values())
         assert (r.analyzed_ngram_count, r.max_ngram_occurrences) == (n, max(c.values(), default=0)) and abs(r.repeated_ngram_ratio - (sum(v for v in c.values() if v >= 3) / n if n else 0)) < 1e-12
+
+
+def test_mixed_terms_beside_variants(spark):
+    rows = [
+        ("r", 0, 0, 1, "Lanternbox 和 Lanternbux"), ("r", 0, 1, 2, "K8S调度 与 P节点"), ("r", 0, 2, 3, "P节点"), ("r", 0, 9, 4, "API接口"), ("r", 1, 0, 5, "X任务"),
+        ("q", 0, 0, 6, "Lanternbox"), ("q", 0, 1, 7, "P节点"), ("p", 0, 0, 8, "KestrelHub kestrelhub"), ("p", 0, 1, 9, "xK8S服务中"),
+    ]
+    got = terms.contextual_signals(spark.createDataFrame(rows, "recording_id string, session_no int, pos int, segment_id bigint, text string")).collect()
+    assert sorted((r.recording_id, r.term, r.occurrences, r.segments, r.related, r.dismissal_policy) for r in got) == [
+        ("p", "xK8S服务", 1, 1, 1, "text_evidence"), ("r", "K8S调度", 1, 1, 1, "text_evidence"), ("r", "P节点", 2, 2, 1, "map_or_audio_review"),
+    ]
+
+
+def test_hashes_of_many_texts():
+    from turnmill.functions.text import fnv1a32_all
+
+    def plain(text):
+        h = 0x811C9DC5
+        data = text.encode("utf-16-le", "surrogatepass")
+        for i in range(0, len(data), 2):
+            h = ((h ^ int.from_bytes(data[i : i + 2], "little")) * 0x01000193) & 0xFFFFFFFF
+        return f"fnv1a32:{h:08x}"
+
+    texts = ["", "a", "逐字稿", "\U0001f389x", "b" * 3000, "", "\ud800"]
+    assert fnv1a32_all(texts) == [plain(t) for t in texts] and fnv1a32_all([]) == []

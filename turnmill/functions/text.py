@@ -8,9 +8,11 @@ are folded natively, the few others in an Arrow batch.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -268,13 +270,25 @@ def plausible_pair(alias: Column, canonical: Column) -> Column:
     )
 
 
+def fnv1a32_all(texts: list[str]) -> list[str]:
+    """FNV-1a, 32 bits, over UTF-16 units, of many texts at once: one unit of all texts at a time."""
+    data = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16) for t in texts]
+    sizes = np.array([len(x) for x in data], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    units = np.concatenate([data[i] for i in order]).astype(np.uint32) if len(data) else np.zeros(0, np.uint32)
+    starts = np.cumsum(sizes[order]) - sizes[order]
+    reach = len(order) - np.searchsorted(sizes[order][::-1], np.arange(sizes.max(initial=0)), "right")
+    h = np.full(len(order), 0x811C9DC5, np.uint32)
+    for i, n in enumerate(reach):
+        h[:n] = (h[:n] ^ units[starts[:n] + i]) * np.uint32(0x01000193)
+    out = np.zeros(len(order), np.uint32)
+    out[order] = h
+    return [f"fnv1a32:{x:08x}" for x in out.tolist()]
+
+
 def fnv1a32(text: str) -> str:
     """FNV-1a, 32 bits, over UTF-16 units."""
-    h = 0x811C9DC5
-    data = text.encode("utf-16-le", "surrogatepass")
-    for i in range(0, len(data), 2):
-        h = ((h ^ (data[i] | data[i + 1] << 8)) * 0x01000193) & 0xFFFFFFFF
-    return f"fnv1a32:{h:08x}"
+    return fnv1a32_all([text])[0]
 
 
 def js_number(value: float | None) -> str:
@@ -295,17 +309,20 @@ def js_number(value: float | None) -> str:
     return r
 
 
-def source_hash_of(seg_idx: int | None, start: float | None, end: float | None, speaker: str | None, text: str | None) -> str:
-    """C17: the hash of a segment's identity, times, speaker and text."""
-    import json
-
+def _identity(seg_idx: int | None, start: float | None, end: float | None, speaker: str | None, text: str | None) -> str:
+    """C17: a segment's identity, times, speaker and text, as they are hashed."""
     i = "null" if seg_idx is None or seg_idx != seg_idx else str(int(seg_idx))
-    return fnv1a32(f"[{i},{js_number(start)},{js_number(end)},{json.dumps(speaker or '', ensure_ascii=False)},{json.dumps(text or '', ensure_ascii=False)}]")
+    return f"[{i},{js_number(start)},{js_number(end)},{json.dumps(speaker or '', ensure_ascii=False)},{json.dumps(text or '', ensure_ascii=False)}]"
+
+
+def source_hash_of(seg_idx: int | None, start: float | None, end: float | None, speaker: str | None, text: str | None) -> str:
+    """C17: the hash of a segment."""
+    return fnv1a32(_identity(seg_idx, start, end, speaker, text))
 
 
 @F.pandas_udf(T.StringType())
 def _source_hash(seg_idx: pd.Series, start: pd.Series, end: pd.Series, speaker: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([source_hash_of(*row) for row in zip(seg_idx, start, end, speaker, text)], dtype=object)
+    return pd.Series(fnv1a32_all([_identity(*row) for row in zip(seg_idx, start, end, speaker, text)]), dtype=object)
 
 
 def source_hash(seg_idx: Column, start: Column, end: Column, speaker: Column, text: Column) -> Column:

@@ -3,7 +3,9 @@
 import bisect
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -245,14 +247,37 @@ def variant_limit(length: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(length / 4).cast("int"))
 
 
+#: The longest keys that are cut into segments.
+SEGMENTED = 32
+
+
+def _rare_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of neighbouring characters of each long key that come first in a fixed order, numbered where they repeat."""
+    for batch in batches:
+        rows = []
+        for w, n in zip(batch["w_"], batch["n_"]):
+            seen: Counter[str] = Counter()
+            grams = []
+            for i in range(n - 1):
+                g = w[i : i + 2]
+                grams.append(f"{g}{seen[g]}")
+                seen[g] += 1
+            grams.sort(key=lambda g: crc32(g.encode()))
+            rows += [(w, n, g) for g in grams[: 2 * ((n + 2) // 4) + 1]]
+        yield pd.DataFrame(rows, columns=["w_", "n_", "gram"])
+
+
 def variant_pairs(keys: DataFrame, key: str) -> DataFrame:
     """pairs of keys within edit distance ``max(1, floor(n / 4))`` that begin alike and differ by less than three in length, neither inside the other.
 
-    A hash join on segments: within ``k`` edits one of ``k + 1`` segments of the
-    shorter key stands in the longer one, at a place that the edits before and after
-    it allow.  So pairs come from equal segments, not from equal first letters.
+    Hash joins that lose no pair.  Keys of up to ``SEGMENTED`` characters: within ``k``
+    edits one of ``k + 1`` segments of the shorter key stands in the longer one, at a
+    place that the edits before and after it allow.  Longer keys, whose segments would
+    be too many: within ``k`` edits, all but ``2 k`` pairs of neighbouring characters are
+    shared, so one of the first ``2 k + 1`` in a fixed order is.
     """
-    k = keys.select(F.col(key).alias("w_")).where("w_ != ''").distinct().withColumn("n_", F.char_length("w_"))
+    all_ = keys.select(F.col(key).alias("w_")).where("w_ != ''").distinct().withColumn("n_", F.char_length("w_"))
+    k = all_.where(F.col("n_") <= SEGMENTED)
     cut_at = "cast(floor({i} * nr / (k + 1)) as int)"
     p, e = cut_at.format(i="i"), cut_at.format(i="(i + 1)")
     own = k.select("w_", F.col("n_").alias("nr"), F.explode(F.sequence(F.col("n_"), F.col("n_") + 2)).alias("ns")).withColumn("k", variant_limit(F.col("ns"))).where("ns - nr <= k")
@@ -263,7 +288,11 @@ def variant_pairs(keys: DataFrame, key: str) -> DataFrame:
     other = other.select("w_", "ns", "nr", F.explode(F.expr(f"filter({places}, x -> x.at >= 0 and x.at + x.size <= ns)")).alias("s_"))
     other = other.select(F.col("w_").alias("long"), "ns", "nr", "s_.i", F.expr("substring(w_, s_.at + 1, s_.size)").alias("seg"))
     first = lambda c: F.substring(c, 1, 1)
-    pairs = own.withColumn("a_", first("short")).join(other.withColumn("a_", first("long")), ["ns", "nr", "i", "seg", "a_"]).where("short != long")
+    pairs = own.withColumn("a_", first("short")).join(other.withColumn("a_", first("long")), ["ns", "nr", "i", "seg", "a_"]).where("short != long").select("short", "long", "ns")
+    # a key of the longest segmented sizes may be a variant of one that is just too long for it
+    big = all_.where(F.col("n_") > SEGMENTED - 2).mapInPandas(_rare_pairs, "w_ string, n_ int, gram string").withColumn("a_", first("w_"))
+    near = big.select(F.col("w_").alias("short"), "gram", "a_", F.explode(F.sequence(F.col("n_"), F.col("n_") + 2)).alias("ns")).join(big.select(F.col("w_").alias("long"), F.col("n_").alias("ns"), "gram", "a_"), ["a_", "ns", "gram"])
+    pairs = pairs.unionByName(near.where((F.col("short") != F.col("long")) & (F.col("ns") > SEGMENTED)).select("short", "long", "ns").distinct())
     pairs = pairs.where(~F.contains("long", "short") & (F.levenshtein("short", "long") <= variant_limit(F.col("ns"))))
     return pairs.select(F.least("short", "long").alias("left"), F.greatest("short", "long").alias("right")).distinct()
 
@@ -303,3 +332,33 @@ def signals(spelled: DataFrame, grouped: DataFrame) -> DataFrame:
     groups = keys.groupBy("component").agg(F.count("*").alias("keys"), F.sum("spellings").alias("spellings"), F.max("spellings").alias("most_"), F.max("identifier").alias("id_"))
     sure = (F.col("most_") >= 2) & F.col("id_")
     return groups.where("keys >= 2 or spellings >= 2").select("component", "keys", "spellings", F.when(sure, "mapped").otherwise("review").alias("required_disposition"))
+
+
+# The words that make a mixed term technical, and the least length of a surface's key.
+_SUFFIXES = "调度|绑定|接口|任务|节点|副本|状态|类型|策略|服务"
+MIXED = rf"(?<![A-Za-z0-9+#])[A-Za-z][A-Za-z0-9+#]{{0,11}}(?:{_SUFFIXES})"
+LEAST_KEY = 7
+
+
+def contextual_signals(norm: DataFrame) -> DataFrame:
+    """Terms of mixed script that stand within a segment of a group of surface variants of their recording.
+
+    ``(recording_id, term_key, term, occurrences, segments, related, dismissal_policy)``; ``related``
+    counts the groups.  A term of one Latin letter is dismissed only by ear.  Neighbours
+    are met by a hash join on the position, three a segment.
+    """
+    of, at = ["recording_id"], ["recording_id", "session_no", "pos"]
+    token = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9+#]*"), F.lit(0)))
+    tokens = norm.select(*at, token.alias("surface")).withColumn("term_key", F.lower("surface")).withColumn("term_key", F.regexp_replace("term_key", r"[^a-z0-9]", "")).where(F.char_length("term_key") >= LEAST_KEY)
+    tokens = cut(tokens)
+    pairs = variant_pairs(tokens.select(F.col("term_key").alias("key")), "key")
+    groups = components(pairs, "left", "right").select(F.col("node").alias("term_key"), "component")
+    named = tokens.join(groups, "term_key", "left").withColumn("component", F.coalesce("component", "term_key"))
+    varied = named.groupBy(*of, "component").agg(F.count_distinct("surface").alias("n_")).where("n_ >= 2").select(*of, "component")
+    anchors = named.join(varied, [*of, "component"]).select(*at, "component").distinct().withColumn("pos", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)))
+    term = F.explode(F.regexp_extract_all("text", F.lit(MIXED), F.lit(0)))
+    mixed = norm.select(*at, "segment_id", term.alias("term")).withColumn("term_key", F.lower("term"))
+    counts = mixed.groupBy(*of, "term_key").agg(F.max_by("term", F.struct("session_no", "pos")).alias("term"), F.count("*").alias("occurrences"), F.count_distinct("segment_id").alias("segments"))
+    near = mixed.select(*at, "term_key").distinct().join(anchors, at).groupBy(*of, "term_key").agg(F.count_distinct("component").alias("related"))
+    policy = F.when(F.col("term").rlike(rf"^[A-Za-z](?:{_SUFFIXES})"), "map_or_audio_review").otherwise("text_evidence")
+    return counts.join(near, [*of, "term_key"]).withColumn("dismissal_policy", policy)

@@ -187,7 +187,7 @@ def semantic_joins(norm: DataFrame) -> DataFrame:
         F.coalesce(space, F.lit(False)).cast("int").alias("space_next"), (F.coalesce("join_next", F.lit(False)) & F.col("joinable")).alias("goes_on"),
     )
     names = [*SESSION, "pos", "paragraph"]
-    out = rows.sortWithinPartitions(*SESSION, "pos").mapInPandas(in_sequence(_join_step, names), "recording_id string, session_no int, pos int, paragraph int")
+    out = rows.repartition(*SESSION).sortWithinPartitions(*SESSION, "pos").mapInPandas(in_sequence(_join_step, names), "recording_id string, session_no int, pos int, paragraph int")
     last = F.lead("paragraph").over(Window.partitionBy(*SESSION).orderBy("pos"))
     return out.withColumn("accepted", F.coalesce(last == F.col("paragraph"), F.lit(False)))
 

@@ -287,6 +287,12 @@ def review_texts(spark: SparkSession, d: str) -> DataFrame:
     return m.select("recording_id", F.substring(F.coalesce(F.nullif("direct", F.lit("")), F.col("joined"), F.lit("")), 1, 1200).alias("review"))
 
 
+@query()
+def contextual_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of mixed script beside groups of surface variants."""
+    return terms.contextual_signals(timeline.normalized(read_table(spark, d, "segments")))
+
+
 # ---- records (S12, S15, K16, K20, U4) ------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ def compact(chunks: DataFrame, payload: str = "payload") -> DataFrame:
         rows.groupBy("recording_id")
         .agg(F.array_sort(F.collect_list(F.struct("chunk_index", "p_"))).alias("c_"), F.max("chunk_index").alias("high_"), F.min("chunk_index").alias("low_"))
         .where("low_ = 0 and high_ + 1 = size(c_)")
-        .select("recording_id", F.aggregate("c_", F.to_binary(F.lit(""), F.lit("utf-8")), lambda a, x: F.concat(a, x["p_"])).alias(payload))
+        .select("recording_id", F.unhex(F.array_join(F.transform("c_", lambda x: F.hex(x["p_"])), "")).alias(payload))
     )
 
 
