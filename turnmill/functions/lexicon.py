@@ -15,8 +15,6 @@ from turnmill.functions.text import ascii_edges, clauses, js_trim
 # Verbs of concrete actions.
 VERBS_ZH = "负责|完成|跟进|处理|交付|执行|推进|承担|上线|发布|批准|提交|发送|修复|实现|部署|验证|通知|准备|整理|更新|迁移|申请|采购|签署|支付|联系|预约|召开|输出|同步|汇报"
 VERBS_EN = rf"responsible|complete|deliver|execute|ship|launch|publish|approve|submit|send|fix|implement|deploy|verify|notify|prepare|update|migrate|contact|schedule|report|follow{W}*up"
-_DO_ZH = "负责|完成|跟进|处理|交付|执行|推进|承担|上线|发布"
-_DO_ALL_ZH = _DO_ZH + "|批准|提交|发送|修复|实现|部署|验证|通知|准备|整理|更新|迁移"
 _DO_EN = rf"complete|deliver|execute|ship|launch|publish|approve|submit|send|fix|implement|deploy|verify|notify|prepare|update|migrate|contact|schedule|report|follow{W}*up"
 _IN_CLAUSE = r"[^，。；;,.!?！？\n]"
 
@@ -28,24 +26,23 @@ NEGATED_ACTION = (
 )
 REJECTED_ACTION = rf"(?:否决|驳回)了?{_IN_CLAUSE}{{0,40}}(?:{VERBS_ZH})"
 DECISION = (
-    rf"(?i)决定|确认|同意|通过|批准|否决|安排|定于|采用|选择|必须|不得|取消|延期|(?:由|让|请|安排|指定){W}*{_IN_CLAUSE}{{1,40}}?(?:{_DO_ZH})"
+    rf"(?i)决定|确认|同意|通过|批准|否决|安排|定于|采用|选择|必须|不得|取消|延期|(?:由|让|请|安排|指定){W}*{_IN_CLAUSE}{{1,40}}?(?:负责|完成|跟进|处理|交付|执行|推进|承担|上线|发布)"
     rf"|{_IN_CLAUSE}{W}*(?:负责|将|承诺){W}*(?:完成|跟进|处理|交付|执行|推进|承担|上线|发布)"
     r"|\b(?:decid(?:e|ed)|agree(?:d)?|approv(?:e|ed)|reject(?:ed)?|will|must|shall|assign(?:ed)?|cancel(?:led)?|postpone(?:d)?)\b"
 )
 COMMITTED = (
-    rf"(?i)(?:由|让|请|安排|指定){W}*{_IN_CLAUSE}{{1,40}}?(?:{_DO_ALL_ZH})|{_IN_CLAUSE}{W}*(?:负责|将|会|承诺|必须){W}*(?:完成|跟进|处理|交付|执行|推进|承担|上线|发布|批准|提交|发送|修复|实现|部署|验证|通知|准备|整理|更新|迁移)"
+    rf"(?i)(?:由|让|请|安排|指定){W}*{_IN_CLAUSE}{{1,40}}?(?:负责|完成|跟进|处理|交付|执行|推进|承担|上线|发布|批准|提交|发送|修复|实现|部署|验证|通知|准备|整理|更新|迁移)|{_IN_CLAUSE}{W}*(?:负责|将|会|承诺|必须){W}*(?:完成|跟进|处理|交付|执行|推进|承担|上线|发布|批准|提交|发送|修复|实现|部署|验证|通知|准备|整理|更新|迁移)"
     rf"|\b(?:assign(?:ed)?|will|must|shall|commit(?:s|ted)?{W}+to)\b.{{0,80}}\b(?:{_DO_EN})\b"
 )
 UNCERTAIN_ACTION = (
     r"(?i)如果|假如|若(?:是|果)?|是否|能否|可否|可能|也许|或许|不一定|待定|尚未确定|预计|预期|计划|打算|考虑|未承诺|尚未承诺"
     rf"|\b(?:if|whether|maybe|perhaps|might|could|possibly|probably|plan(?:s|ned)?{W}+to|expect(?:s|ed)?{W}+to|intend(?:s|ed)?{W}+to|not{W}+committed|uncommitted)\b"
 )
-_MAKE = r"(?:(?:作出|做出|形成|达成){W}*)?".replace("{W}", W)
 NOT_MADE = (
-    rf"(?i)(?:还|仍|尚)?{W}*(?:需要|需){W}*(?:(?:就|对|针对){_IN_CLAUSE}{{0,40}}(?:作出|做出|形成|达成){W}*|(?:作出|做出|形成|达成){W}*)?(?:决定|决策|确认|承诺|敲定|同意|批准|通过|安排|指定)"
-    rf"|(?:最终{W}*)?(?:决定|决策|确认|承诺|同意|批准|通过|安排|指定){W}*(?:仍|还|尚|暂)?{W}*(?:未|没有|并未){W}*(?:最终{W}*)?(?:作出|做出|形成|达成|完成|明确|敲定)"
-    rf"|(?:没有|并没有|还没有|还没|尚未|暂未|并未|未能|尚无|暂无){W}*(?:最终{W}*)?{_MAKE}(?:决定|决策|确认|承诺|敲定|同意|批准|通过|安排|指定)|未{W}*(?:最终{W}*)?(?:作出|做出|形成|达成){W}*(?:决定|决策|确认|承诺|敲定|同意|批准|通过|安排|指定)"
+    rf"(?i)(?:没有|并没有|还没有|还没|尚未|暂未|并未|未能|尚无|暂无){W}*(?:最终{W}*)?(?:(?:作出|做出|形成|达成){W}*)?(?:决定|决策|确认|承诺|敲定|同意|批准|通过|安排|指定)|未{W}*(?:最终{W}*)?(?:作出|做出|形成|达成){W}*(?:决定|决策|确认|承诺|敲定|同意|批准|通过|安排|指定)"
     rf"|(?:没有人|没人|无人){W}*(?:决定|确认|承诺|同意|批准|安排|指定)|(?:不|未){W}*(?:决定|确认|承诺|敲定)"
+    rf"|(?:还|仍|尚)?{W}*(?:需要|需){W}*(?:(?:就|对|针对){_IN_CLAUSE}{{0,40}}(?:作出|做出|形成|达成){W}*|(?:作出|做出|形成|达成){W}*)?(?:决定|决策|确认|承诺|敲定|同意|批准|通过|安排|指定)"
+    rf"|(?:最终{W}*)?(?:决定|决策|确认|承诺|同意|批准|通过|安排|指定){W}*(?:仍|还|尚|暂)?{W}*(?:未|没有|并未){W}*(?:最终{W}*)?(?:作出|做出|形成|达成|完成|明确|敲定)"
     rf"|\b(?:(?:(?:did|do|does|has|have|had|is|are|was|were){W}+not|(?:didn't|doesn't|don't|hasn't|haven't|hadn't|isn't|aren't|wasn't|weren't)){W}+(?:yet{W}+)?(?:been{W}+)?(?:decid(?:e|ed)|confirm(?:ed)?|commit(?:ted)?|agree(?:d)?|approv(?:e|ed)|assign(?:ed)?)"
     rf"|not{W}+(?:yet{W}+)?(?:decided|confirmed|committed|agreed|approved|assigned)|no{W}+(?:final{W}+)?(?:decision|confirmation|commitment|agreement|approval|assignment)"
     rf"|(?:nobody|no{W}+one).{{0,40}}\b(?:decid(?:e|ed)|confirm(?:ed)?|commit(?:ted)?|agree(?:d)?|approv(?:e|ed)|assign(?:ed)?|will)|never{W}+(?:decid(?:e|ed)|confirm(?:ed)?|commit(?:ted)?|agree(?:d)?|approv(?:e|ed)|assign(?:ed)?)"
