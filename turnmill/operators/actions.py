@@ -39,6 +39,7 @@ def owner_supported(evidence: Column, owner: Column) -> Column:
 def stands_alone(clause: Column, due: Column) -> Column:
     """nothing but words of time stand beside the due date."""
     rest = F.lower(tx.no_space(F.regexp_replace(clause, F.concat(F.lit("(?i)"), tx.regex_escape(due)), F.lit(""))))
+    # Fixed value: words of time.
     return rest.rlike("^(?:截止(?:到)?|到|前|之前|以前|以内|为止|by|before|due)?$")
 
 
