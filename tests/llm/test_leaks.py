@@ -61,3 +61,13 @@ def test_table(spark):
     items = spark.createDataFrame([*ITEMS, ITEMS[0]], "item_id bigint, text string, lang string")
     assert sorted(map(tuple, find_leaks(docs, items).collect())) == [(7, 1), (7, 5), (10, 2)]
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_blocks_keep_both_bounds(monkeypatch):
+    from turnmill.llm import leaks
+
+    monkeypatch.setattr(leaks, "BLOCK", 3)
+    monkeypatch.setattr(leaks, "BLOCK_CHARACTERS", 10)
+    rows = [(i, "x" * n, "en") for i, n in enumerate([1, 1, 1, 1, 9, 2, 50, 3, 3])]
+    blocks = list(leaks._blocks(rows))
+    assert [r for b in blocks for r in b] == rows and [len(b) for b in blocks] == [3, 2, 1, 1, 2] and list(leaks._blocks([])) == [[]]

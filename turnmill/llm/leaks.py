@@ -12,7 +12,8 @@ bands, of which one must agree) finds every pair of fingerprints within
 the run of equal characters around a verified pair is measured exactly.
 
 Passages are a stated query set: they are taken in blocks of at most ``BLOCK``
-rows, each block against all documents, so what a task holds is bounded.
+rows and ``BLOCK_CHARACTERS`` characters (a longer passage is a block of its own),
+each block against all documents, so what a task holds is bounded.
 
 Defined results: documents or passages without text give no row; repeated rows
 count once; whole texts are searched, however long.
@@ -38,7 +39,7 @@ GRAM = 4
 STRIDE = 5
 RADIUS = 3
 SIMILARITY = 0.8
-BLOCK = 2000
+BLOCK, BLOCK_CHARACTERS = 2000, 4_000_000
 CHUNK = 1 << 15
 
 SILENT, BREAK, MANY = 0, 1, 2  # character values that are no letters
@@ -302,15 +303,30 @@ class Passages:
         return False
 
 
+def _blocks(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """The rows in blocks that keep both bounds."""
+    block: list[tuple] = []
+    size = 0
+    for row in rows:
+        if block and (len(block) == BLOCK or size + len(row[1]) > BLOCK_CHARACTERS):
+            yield block
+            block, size = [], 0
+        block.append(row)
+        size += len(row[1])
+    yield block
+
+
 def find_leaks(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """``(doc_id, item_id)`` of every document and each passage of which it contains a leak."""
     spark = documents.sparkSession
     items = passages.select(F.col("item_id").cast("bigint"), "text", "lang").where("text is not null").distinct()
-    blocks = max(1, -(-items.count() // (BLOCK // 2)))
+    n, characters = items.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
+    hashed = max(1, -(-n // (BLOCK // 2)), -(-characters // (BLOCK_CHARACTERS // 2)))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text != ''")
     out = None
-    for block in range(blocks):
-        some = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()]
+    # one hashed share of the passages at a time comes to the driver, and is cut where it is over a bound
+    shares = ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(hashed)) == share).collect()] for share in range(hashed))
+    for some in (block for share in shares for block in _blocks(share)):
         shared = spark.sparkContext.broadcast(some)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
