@@ -145,6 +145,14 @@ def test_variants_against_all_pairs(spark):
     assert terms.variant_pairs(df.limit(0), "key").count() == 0
 
 
+def test_variants_of_very_long_keys(spark):
+    some = random.Random(3)
+    words = ["".join(some.choices("abcdefghijklmnop0123456789", k=20_000 + 3 * i)) for i in range(40)]
+    near = words[7][:9000] + "z" + words[7][9001:]
+    df = spark.createDataFrame([(w,) for w in [*words, near]], "key string").coalesce(1)
+    assert [tuple(sorted(r)) for r in terms.variant_pairs(df, "key").collect()] == [tuple(sorted((words[7], near)))]
+
+
 def test_predicates_of_surfaces(spark):
     rows = [
         ("Data-Vault", "datavault", "data vault", "datavault", True), ("vector", "vector", "vectro", "vectro", False), ("vectoring", "vectoring", "vectorinq", "vectorinq", True), ("abcdefghijkl", "abcdefghijkl", "abcdefghi", "abcdefghi", False),

@@ -1,11 +1,12 @@
 """Terminology: the naming language, alias graphs, occurrences, consensus and rewriting."""
 
 import bisect
+import operator
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
-from zlib import crc32
+from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -249,22 +250,41 @@ def variant_limit(length: Column) -> Column:
 
 #: The longest keys that are cut into segments.
 SEGMENTED = 32
+#: Fixed value: how often a letter may stand in a longer key for its count to be told apart.
+COUNTED = 6
 
 
-def _rare_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs of neighbouring characters of each long key that come first in a fixed order, numbered where they repeat."""
-    for batch in batches:
-        rows = []
-        for w, n in zip(batch["w_"], batch["n_"]):
-            seen: Counter[str] = Counter()
-            grams = []
-            for i in range(n - 1):
-                g = w[i : i + 2]
-                grams.append(f"{g}{seen[g]}")
-                seen[g] += 1
-            grams.sort(key=lambda g: crc32(g.encode()))
-            rows += [(w, n, g) for g in grams[: 2 * ((n + 2) // 4) + 1]]
-        yield pd.DataFrame(rows, columns=["w_", "n_", "gram"])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _letter_counts(keys: pd.Series) -> pd.Series:
+    """For each count up to ``COUNTED``, a bit for every letter (modulo 64) that stands in the key so often."""
+    out = []
+    for w in keys:
+        bits = [0] * COUNTED
+        counts: Counter[int] = Counter()
+        for ch, n in Counter(w).items():
+            counts[ord(ch) % 64] += n
+        for c, n in counts.items():
+            for t in range(min(n, COUNTED)):
+                bits[t] |= 1 << c
+        out.append([x - (1 << 64) if x >> 63 else x for x in bits])
+    return pd.Series(out, dtype=object)
+
+
+def _long_pairs(all_: DataFrame) -> DataFrame:
+    """The pairs of keys of which the longer has more than ``SEGMENTED`` characters, that may be variants.
+
+    Keys that begin alike are met by their length, each as one row, and first compared by
+    their letters: ``k`` edits change the counts of letters by ``2 k`` less the difference in
+    length at most.
+    """
+    # a key of the longest segmented sizes may be a variant of one that is just too long for it
+    big = all_.where(F.col("n_") > SEGMENTED - 2).select("w_", "n_", F.substring("w_", 1, 1).alias("a_"), _letter_counts("w_").alias("c_"))
+    sizes = F.filter(F.sequence(F.col("n_"), F.col("n_") + 2), lambda x: x > SEGMENTED)
+    short = big.select(F.col("w_").alias("short"), F.col("n_").alias("nr"), "a_", *[F.col("c_")[t].alias(f"s{t}") for t in range(COUNTED)], F.explode(sizes).alias("ns"))
+    long = big.select(F.col("w_").alias("long"), F.col("n_").alias("ns"), "a_", *[F.col("c_")[t].alias(f"l{t}") for t in range(COUNTED)])
+    changed = reduce(operator.add, [F.bit_count(F.col(f"s{t}").bitwiseXOR(F.col(f"l{t}"))) for t in range(COUNTED)])
+    near = short.join(long, ["a_", "ns"]).where((F.col("nr") < F.col("ns")) | (F.col("short") < F.col("long"))).where(changed <= 2 * variant_limit(F.col("ns")) - (F.col("ns") - F.col("nr")))
+    return near.select("short", "long", "ns")
 
 
 def variant_pairs(keys: DataFrame, key: str) -> DataFrame:
@@ -273,8 +293,7 @@ def variant_pairs(keys: DataFrame, key: str) -> DataFrame:
     Hash joins that lose no pair.  Keys of up to ``SEGMENTED`` characters: within ``k``
     edits one of ``k + 1`` segments of the shorter key stands in the longer one, at a
     place that the edits before and after it allow.  Longer keys, whose segments would
-    be too many: within ``k`` edits, all but ``2 k`` pairs of neighbouring characters are
-    shared, so one of the first ``2 k + 1`` in a fixed order is.
+    be too many, are met by their length and compared by their letters first.
     """
     all_ = keys.select(F.col(key).alias("w_")).where("w_ != ''").distinct().withColumn("n_", F.char_length("w_"))
     k = all_.where(F.col("n_") <= SEGMENTED)
@@ -289,10 +308,7 @@ def variant_pairs(keys: DataFrame, key: str) -> DataFrame:
     other = other.select(F.col("w_").alias("long"), "ns", "nr", "s_.i", F.expr("substring(w_, s_.at + 1, s_.size)").alias("seg"))
     first = lambda c: F.substring(c, 1, 1)
     pairs = own.withColumn("a_", first("short")).join(other.withColumn("a_", first("long")), ["ns", "nr", "i", "seg", "a_"]).where("short != long").select("short", "long", "ns")
-    # a key of the longest segmented sizes may be a variant of one that is just too long for it
-    big = all_.where(F.col("n_") > SEGMENTED - 2).mapInPandas(_rare_pairs, "w_ string, n_ int, gram string").withColumn("a_", first("w_"))
-    near = big.select(F.col("w_").alias("short"), "gram", "a_", F.explode(F.sequence(F.col("n_"), F.col("n_") + 2)).alias("ns")).join(big.select(F.col("w_").alias("long"), F.col("n_").alias("ns"), "gram", "a_"), ["a_", "ns", "gram"])
-    pairs = pairs.unionByName(near.where((F.col("short") != F.col("long")) & (F.col("ns") > SEGMENTED)).select("short", "long", "ns").distinct())
+    pairs = pairs.unionByName(_long_pairs(all_))
     pairs = pairs.where(~F.contains("long", "short") & (F.levenshtein("short", "long") <= variant_limit(F.col("ns"))))
     return pairs.select(F.least("short", "long").alias("left"), F.greatest("short", "long").alias("right")).distinct()
 
@@ -348,16 +364,17 @@ def contextual_signals(norm: DataFrame) -> DataFrame:
     are met by a hash join on the position, three a segment.
     """
     of, at = ["recording_id"], ["recording_id", "session_no", "pos"]
-    token = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9+#]*"), F.lit(0)))
-    tokens = norm.select(*at, token.alias("surface")).withColumn("term_key", F.lower("surface")).withColumn("term_key", F.regexp_replace("term_key", r"[^a-z0-9]", "")).where(F.char_length("term_key") >= LEAST_KEY)
-    tokens = cut(tokens)
+    found = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    words = F.filter(found(r"[A-Za-z][A-Za-z0-9+#]*"), lambda x: F.char_length(x) >= LEAST_KEY)
+    # the texts are put in order and read once, for words and terms
+    rows = cut(norm.select(*at, "segment_id", words.alias("words"), found(MIXED).alias("terms")).where("size(words) > 0 or size(terms) > 0"))
+    tokens = rows.select(*at, F.explode("words").alias("surface")).withColumn("term_key", F.lower("surface")).withColumn("term_key", F.regexp_replace("term_key", r"[^a-z0-9]", "")).where(F.char_length("term_key") >= LEAST_KEY)
     pairs = variant_pairs(tokens.select(F.col("term_key").alias("key")), "key")
     groups = components(pairs, "left", "right").select(F.col("node").alias("term_key"), "component")
     named = tokens.join(groups, "term_key", "left").withColumn("component", F.coalesce("component", "term_key"))
     varied = named.groupBy(*of, "component").agg(F.count_distinct("surface").alias("n_")).where("n_ >= 2").select(*of, "component")
     anchors = named.join(varied, [*of, "component"]).select(*at, "component").distinct().withColumn("pos", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)))
-    term = F.explode(F.regexp_extract_all("text", F.lit(MIXED), F.lit(0)))
-    mixed = norm.select(*at, "segment_id", term.alias("term")).withColumn("term_key", F.lower("term"))
+    mixed = rows.select(*at, "segment_id", F.explode("terms").alias("term")).withColumn("term_key", F.lower("term"))
     counts = mixed.groupBy(*of, "term_key").agg(F.max_by("term", F.struct("session_no", "pos")).alias("term"), F.count("*").alias("occurrences"), F.count_distinct("segment_id").alias("segments"))
     near = mixed.select(*at, "term_key").distinct().join(anchors, at).groupBy(*of, "term_key").agg(F.count_distinct("component").alias("related"))
     policy = F.when(F.col("term").rlike(rf"^[A-Za-z](?:{_SUFFIXES})"), "map_or_audio_review").otherwise("text_evidence")
