@@ -145,6 +145,23 @@ def test_variants_against_all_pairs(spark):
     assert terms.variant_pairs(df.limit(0), "key").count() == 0
 
 
+def test_variants_gather_their_keys_once(spark):
+    some = random.Random(4)
+    words = sorted({c + "".join(some.choices("abc", k=some.randrange(0, 12))) for c in "ab" for _ in range(250)})
+    want = {(a, b) for a in words for b in words if a < b and a[0] == b[0] and abs(len(a) - len(b)) < 3 and a not in b and b not in a and _edits(a, b) <= max(1, max(len(a), len(b)) // 4)}
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame([(w,) for w in words], "key string").mapInPandas(counted, "key string")
+    got = [tuple(r) for r in terms.variant_pairs(df, "key").collect()]
+    assert set(got) == want and len(got) == len(want) > 400
+    assert read.value == len(words)
+
+
 def test_variants_of_very_long_keys(spark):
     some = random.Random(3)
     words = ["".join(some.choices("abcdefghijklmnop0123456789", k=20_000 + 3 * i)) for i in range(40)]
