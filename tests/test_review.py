@@ -162,6 +162,24 @@ def test_variants_gather_their_keys_once(spark):
     assert read.value == len(words)
 
 
+def test_components_read_the_texts_once(spark, monkeypatch):
+    from turnmill.plans import reference
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    texts = ["Lanternbox 和 Lanternbux", "lanternbax", "Kettle-98 kettle99", "alone", "Quillasync Quillasink"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInPandas(counted, "doc_id long, text string")
+    monkeypatch.setattr(reference, "read_table", lambda *_: df)
+    got = {r.node: r.component for r in reference.variant_components(spark, "").collect()}
+    assert got == {"lanternbax": "lanternbax", "lanternbox": "lanternbax", "lanternbux": "lanternbax", "kettle98": "kettle98", "kettle99": "kettle98", "quillasync": "quillasink", "quillasink": "quillasink"}
+    assert read.value == len(texts)
+
+
 def test_variants_of_very_long_keys(spark):
     some = random.Random(3)
     words = ["".join(some.choices("abcdefghijklmnop0123456789", k=20_000 + 3 * i)) for i in range(40)]
