@@ -180,6 +180,47 @@ def test_components_read_the_texts_once(spark, monkeypatch):
     assert read.value == len(texts)
 
 
+def test_late_rounds_of_components_are_small(spark, monkeypatch):
+    sizes = []
+
+    def counted(df):
+        sizes.append(df.count())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(terms, "cut", counted)
+    edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(240)] + [("x", "x"), ("y", None)]
+    got = {r.node: r.component for r in terms.components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
+    assert got == {f"c{i:03d}": "c000" for i in range(241)} | {"x": "x"}
+    assert sum(sizes[len(sizes) // 2 : -1]) < 120  # all nodes were joined to all edges in every round
+
+
+def test_keys_of_surfaces_are_distinct_in_a_batch(spark):
+    texts = ["Lanternbox 和 Lanternbox, lantern-box\n", None, "", "C++ x# a- _ab 9abc9 --Foo_bar-_，调用Bar#+ f_ é1ab aéb K2", "ab", "cd ef", "G-h-", "A1-#", *["Quilla sync"] * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {r.term_key for r in terms.surfaces(df, "doc_id", "text").collect()}
+    keys = terms.surface_keys(df, "text")
+    got = [r.key for r in keys.collect()]
+    assert set(got) == want and len(got) == len(want) > 8
+    assert "Generate" not in keys._jdf.queryExecution().executedPlan().toString()  # no row for each of a text's words
+
+
+def test_letters_of_variants_in_every_script(spark):
+    some = random.Random(6)
+    words = {"q" + "".join(some.choices("aAbB!1和平😀é", k=some.randrange(2, 12))) for _ in range(60)}
+    for w in sorted(words):
+        i = some.randrange(1, len(w))
+        words.add(w[:i] + some.choice(["", "和", "aa"]) + w[i + some.choice([0, 1, 2]) :])
+    want = {(a, b) for a in words for b in words if a < b and abs(len(a) - len(b)) < 3 and a not in b and b not in a and _edits(a, b) <= max(1, max(len(a), len(b)) // 4)}
+    pairs = terms.variant_pairs(spark.createDataFrame([(w,) for w in words], "key string"), "key")
+    got = [tuple(sorted(r)) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 20
+    assert "bit_count" in pairs.where("left != ''")._jdf.queryExecution().optimizedPlan().toString()
+    # the counts of letters tell apart what segments let meet
+    bits = {r.w: r.m for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", terms._letter_bits("w").alias("m")).collect()}
+    for a, b in want:
+        assert ((bits[a] ^ bits[b]) & (1 << 64) - 1).bit_count() <= 2 * max(1, max(len(a), len(b)) // 4) - abs(len(a) - len(b))
+
+
 def test_variants_of_very_long_keys(spark):
     some = random.Random(3)
     words = ["".join(some.choices("abcdefghijklmnop0123456789", k=20_000 + 3 * i)) for i in range(40)]

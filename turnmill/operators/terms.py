@@ -4,12 +4,13 @@ import bisect
 import operator
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,29 +106,34 @@ def close_aliases(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def components(edges: DataFrame, left: str, right: str, rounds: int | None = None) -> DataFrame:
-    """``(node, component)``, the component named by its least node; min-label propagation with path shortening.
+    """``(node, component)``, the component named by its least node; contraction in an order drawn by hash anew in each round.
 
-    Goes on until no label changes; where ``rounds`` are given and do not suffice, it raises.
+    In a round each node goes over to the first of itself and its neighbours, and the edges
+    go with it.  At least a fixed share of the nodes is expected to vanish, however the graph
+    lies, so all rounds together cost little more than the first.  Goes on until no edge is
+    left; where ``rounds`` are given and do not suffice, it raises.
     """
-    both = cut(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).unionByName(edges.select(F.col(right).alias("a"), F.col(left).alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node"))
-    done = 0
-    while True:
-        if done == rounds:
+    ends = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ((left, right), (right, left))])
+    both, moves = cut(edges.select(F.inline(ends)).where("a is not null and b is not null")), []
+    of, none = Window.partitionBy("a"), F.lit(None).cast(both.schema["a"].dataType)
+    while not moves or not both.isEmpty():
+        if len(moves) == rounds:
             raise ValueError(f"components are not settled after {rounds} rounds")
-        done += 1
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        jump = labels.select(F.col("node").alias("c"), F.col("c").alias("cc"))
-        fresh = (
-            labels.join(near.withColumnRenamed("a", "node"), "node")
-            .join(jump, "c", "left")
-            .select("node", "c", F.least("c", "m", F.coalesce("cc", "c")).alias("n"))
-        )
-        fresh = cut(fresh)
-        labels = fresh.select("node", F.col("n").alias("c"))
-        if fresh.where("n < c").isEmpty():
-            break
-    return labels.withColumnRenamed("c", "component")
+        order = lambda x: F.struct(F.xxhash64(F.lit(len(moves)), x).alias("h"), F.col(x).alias("to"))  # noqa: B023, E731
+        # windows, as Spark's estimates of joined joins grow beyond memory within some rounds
+        first = both.withColumn("to", F.least(F.min(order("b")).over(of), order("a"))["to"])
+        rows = F.array(F.struct("a", none.alias("b"), "to"), F.struct(F.col("b").alias("a"), F.col("to").alias("b"), none.alias("to")))
+        gone = cut(first.select(F.inline(rows)).distinct())
+        moves.append(gone.where("b is null").select("a", "to"))
+        ahead = gone.withColumn("to", F.max("to").over(of)).where("b != to").select(F.col("to").alias("a"), "b")
+        both = cut(ahead.distinct())
+    labels = moves.pop()
+    while moves:  # where the nodes of a round went in the later ones
+        later = labels.select(F.col("a").alias("to"), F.col("to").alias("last"))
+        labels = moves.pop().join(later, "to", "left").select("a", F.coalesce("last", "to").alias("to"))
+    labels = cut(labels)
+    names = labels.groupBy("to").agg(F.min("a").alias("component"))
+    return labels.join(names, "to").select(F.col("a").alias("node"), "component")
 
 
 def _match_units(text: str) -> tuple[str, list[tuple[int, int]]]:
@@ -244,6 +250,30 @@ def surfaces(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+#: The letters of surfaces, small, and spaces for all other bytes.
+_FOLDED = bytes(ord(chr(b).lower()) if re.match(r"[A-Za-z0-9+#_\-]", chr(b)) else 32 for b in range(256))
+
+
+def surface_keys(df: DataFrame, text: str) -> DataFrame:
+    """The distinct ``key`` of all surfaces.
+
+    A surface lies within a run of its letters, so the texts are only cut into such runs,
+    and the surfaces are looked for in the distinct runs of a batch.
+    """
+    find = re.compile(SURFACE.encode()).findall
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs: set[bytes] = set()
+            for t in batch.column(0).to_pylist():
+                runs.update(t.translate(_FOLDED).split())
+            keys = {re.sub(rb"[^a-z0-9]", b"", x) for run in runs for x in find(run) if len(x) >= 3}
+            yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in keys], pa.string())], ["key"])
+
+    rows = df.select(F.col(text).cast("binary").alias("t_")).where("t_ is not null")
+    return rows.mapInArrow(work, "key string").distinct()
+
+
 def variant_limit(length: Column) -> Column:
     """The most edits between variants of which the longer has ``length`` characters."""
     return F.greatest(F.lit(1), F.floor(length / 4).cast("int"))
@@ -255,20 +285,24 @@ SEGMENTED = 32
 COUNTED = 6
 
 
+def _unary(keys: pd.Series, letters: int, times: int) -> np.ndarray:
+    """For each key and count up to ``times``, a bit for every letter (modulo ``letters``) that stands in the key so often."""
+    codes = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32) % letters
+    of = np.repeat(np.arange(len(keys)), [len(w) for w in keys])
+    counts = np.bincount(of * letters + codes, minlength=len(keys) * letters).reshape(len(keys), 1, letters)
+    return np.packbits(counts > np.arange(times)[:, None], axis=2, bitorder="little")
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _letter_counts(keys: pd.Series) -> pd.Series:
-    """For each count up to ``COUNTED``, a bit for every letter (modulo 64) that stands in the key so often."""
-    out = []
-    for w in keys:
-        bits = [0] * COUNTED
-        counts: Counter[int] = Counter()
-        for ch, n in Counter(w).items():
-            counts[ord(ch) % 64] += n
-        for c, n in counts.items():
-            for t in range(min(n, COUNTED)):
-                bits[t] |= 1 << c
-        out.append([x - (1 << 64) if x >> 63 else x for x in bits])
-    return pd.Series(out, dtype=object)
+    """For each count up to ``COUNTED``, a bit for every letter (modulo 64)."""
+    return pd.Series(list(_unary(keys, 64, COUNTED).view(np.int64)[:, :, 0]), dtype=object)
+
+
+@F.pandas_udf(T.LongType())
+def _letter_bits(keys: pd.Series) -> pd.Series:
+    """A bit for every letter (modulo 32), and one for every letter that stands in the key twice."""
+    return pd.Series(_unary(keys, 32, 2).reshape(len(keys), 8).view(np.int64)[:, 0])
 
 
 def _long_pairs(all_: DataFrame) -> DataFrame:
@@ -279,7 +313,7 @@ def _long_pairs(all_: DataFrame) -> DataFrame:
     length at most.
     """
     # a key of the longest segmented sizes may be a variant of one that is just too long for it
-    big = all_.where(F.col("n_") > SEGMENTED - 2).select("w_", "n_", F.substring("w_", 1, 1).alias("a_"), _letter_counts("w_").alias("c_"))
+    big = cut(all_.where(F.col("n_") > SEGMENTED - 2).select("w_", "n_", F.substring("w_", 1, 1).alias("a_"), _letter_counts("w_").alias("c_")))
     sizes = F.filter(F.sequence(F.col("n_"), F.col("n_") + 2), lambda x: x > SEGMENTED)
     short = big.select(F.col("w_").alias("short"), F.col("n_").alias("nr"), "a_", *[F.col("c_")[t].alias(f"s{t}") for t in range(COUNTED)], F.explode(sizes).alias("ns"))
     long = big.select(F.col("w_").alias("long"), F.col("n_").alias("ns"), "a_", *[F.col("c_")[t].alias(f"l{t}") for t in range(COUNTED)])
@@ -323,16 +357,18 @@ def variant_pairs(keys: DataFrame, key: str) -> DataFrame:
     edits one of ``k + 1`` segments of what follows the shorter key's first character stands
     in the longer one, at a place that the edits before and after it allow; the shortest keys
     are met by what is left of them without an edited character.  Longer keys, whose segments
-    would be too many, are met by their length and compared by their letters first.
+    would be too many, are met by their length.  All are compared by their letters first: ``k``
+    edits change the counts of letters by ``2 k`` less the difference in length at most.
     """
     # the keys are written, lest each join gather them anew
-    all_ = cut(keys.select(F.col(key).alias("w_")).distinct()).where("w_ != ''").withColumn("n_", F.char_length("w_"))
+    all_ = cut(keys.select(F.col(key).alias("w_")).where("w_ != ''").distinct().withColumn("m_", _letter_bits("w_"))).withColumn("n_", F.char_length("w_"))
     tables = [F.broadcast(all_.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in ("n_", "ns", "nr", "i", "a", "b", "c", "d", "e")))) for rows in _pieces()]
     piece = F.expr("xxhash64(ns, nr, i, substring(w_, 1, 1), concat(substring(w_, a + 1, b - a), substring(w_, c + 1, d - c), substring(w_, e + 1)))")
-    own, other = [all_.join(t, "n_").select(F.col("w_").alias(name), piece.alias("piece")) for name, t in zip(("short", "long"), tables)]
-    pairs = own.join(other, "piece").select("short", "long").withColumn("ns", F.char_length("long"))
-    pairs = pairs.where((F.char_length("short") < F.col("ns")) | (F.col("short") < F.col("long"))).where(F.substring("short", 1, 1) == F.substring("long", 1, 1))
-    pairs = pairs.unionByName(_long_pairs(all_)).withColumn("k", variant_limit(F.col("ns")))
+    own, other = [all_.join(t, "n_").select(F.col("w_").alias(name), F.col("m_").alias(f"m_{name}"), piece.alias("piece")) for name, t in zip(("short", "long"), tables)]
+    changed, nr, ns = F.bit_count(F.col("m_short").bitwiseXOR(F.col("m_long"))), F.char_length("short"), F.char_length("long")
+    pairs = own.hint("shuffle_hash").join(other, "piece").where(changed <= 2 * variant_limit(ns) - (ns - nr))
+    pairs = pairs.where((nr < ns) | (F.col("short") < F.col("long"))).where(F.substring("short", 1, 1) == F.substring("long", 1, 1))
+    pairs = pairs.select("short", "long", ns.alias("ns")).unionByName(_long_pairs(all_)).withColumn("k", variant_limit(F.col("ns")))
     pairs = pairs.where(~F.contains("long", "short") & F.expr("levenshtein(short, long, k) between 0 and k"))
     return pairs.select(F.least("short", "long").alias("left"), F.greatest("short", "long").alias("right")).distinct()
 

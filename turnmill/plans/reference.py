@@ -571,7 +571,7 @@ v AS (SELECT a.key AS l, b.key AS r FROM k a JOIN k b ON substr(a.key, 1, 1) = s
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
     """The keys of all surfaces."""
-    return terms.surfaces(read_table(spark, d, "documents"), "doc_id", "text").select(F.col("term_key").alias("key"))
+    return terms.surface_keys(read_table(spark, d, "documents"), "text")
 
 
 @query(f"WITH {_VARIANTS} SELECT l AS left, r AS right FROM v".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'))
